@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantara.llm import mixing, sharding
-from quantara.llm._common import table
+from quantara.llm import attribution, mixing, repetition, sharding, tokenfile
+from quantara.llm._common import cut, delete_path, scratch_path, table
+
+#: Name of the vocabulary in the folder of public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op4_offset_mapped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document."""
+    counts = attribution.section_tokens(table(spark, sf_dir, "documents"), vocabulary())
+    return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +36,23 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_arrow_fixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    out = cut(tokenfile.read_tokens(spark, manifest))
+    delete_path(spark, path)
+    return out
+
+
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_histogram_sort, op8_hash_threshold_mix)}
+    return {f.__name__: f for f in (
+        op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op8_hash_threshold_mix,
+    )}
 
 
 OP5_SQL = """
