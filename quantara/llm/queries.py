@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantara.llm import attribution, mixing, repetition, sharding, tokenfile
+from quantara.llm import attribution, minhash, mixing, repetition, sharding, tokenfile
 from quantara.llm._common import cut, delete_path, scratch_path, table
 
 #: Name of the vocabulary in the folder of public tokenizers.
@@ -20,6 +20,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op8_hash_threshold_mix,
+        op1_bagminhash, op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op8_hash_threshold_mix,
     )}
 
 
