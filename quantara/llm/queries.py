@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantara.llm import attribution, minhash, mixing, repetition, sharding, tokenfile
+from quantara.llm import attribution, language, minhash, mixing, repetition, sharding, tokenfile
 from quantara.llm._common import cut, delete_path, scratch_path, table
 
 #: Name of the vocabulary in the folder of public tokenizers.
@@ -48,6 +48,12 @@ def op6_arrow_fixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op7_mixture_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.where("not held_out"))
+    return language.predict(docs, model, keep=("held_out",))
+
+
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -55,7 +61,7 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_bagminhash, op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op8_hash_threshold_mix,
+        op1_bagminhash, op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op7_mixture_inference, op8_hash_threshold_mix,
     )}
 
 
