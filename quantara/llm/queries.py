@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantara.llm import attribution, language, minhash, mixing, repetition, sharding, tokenfile
+from quantara.llm import attribution, language, license_scan, minhash, mixing, repetition, sharding, tokenfile
 from quantara.llm._common import cut, delete_path, scratch_path, table
 
 #: Name of the vocabulary in the folder of public tokenizers.
@@ -28,6 +28,10 @@ def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_offset_mapped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     counts = attribution.section_tokens(table(spark, sf_dir, "documents"), vocabulary())
@@ -61,7 +65,7 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_bagminhash, op2_suffix_array_repetition, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op7_mixture_inference, op8_hash_threshold_mix,
+        op1_bagminhash, op2_suffix_array_repetition, op3_rare_token_index, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op7_mixture_inference, op8_hash_threshold_mix,
     )}
 
 
