@@ -9,7 +9,7 @@ from quantara.llm._common import cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, label) of every end of a link; label is the smallest id of its component.
+    """(id, label) of every end of a link; label is the smallest id of its component. Ids may be of any ordered type.
 
     Each round hooks a node's label to the smallest of its neighbours' and then follows labels once, so
     that paths shorten by half a round. Labels are materialised each round. Sums over hot nodes combine
