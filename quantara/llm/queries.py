@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantara.llm import attribution, language, license_scan, line_dedup, minhash, mixing, repetition, sharding, tokenfile
+from quantara.llm import attribution, decontaminate, language, license_scan, line_dedup, minhash, mixing, repetition, sharding, tokenfile
 from quantara.llm._common import cut, delete_path, scratch_path, table
 
 #: Name of the vocabulary in the folder of public tokenizers.
@@ -63,6 +63,10 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -71,7 +75,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bagminhash, op2_suffix_array_repetition, op3_rare_token_index, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op7_mixture_inference, op8_hash_threshold_mix,
-        op10_fuzzy_lines,
+        op9_cgk_decontamination, op10_fuzzy_lines,
     )}
 
 
