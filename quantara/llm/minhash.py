@@ -9,9 +9,9 @@ in it with the probability of their weighted Jaccard similarity, exactly. Points
 only until every component has a value earlier than the next point, so most shingles of a long text draw few.
 
 Equal texts are collapsed first; the others are banded. Each band's bucket is checked against its smallest
-member (a star), then the members that no link ties to the bucket's smallest are checked against all others
-of other components, so no link is lost and no pairs inside a component are made. Links are verified on the
-exact multisets. Classes are the connected components.
+member (a star). Members that no link ties to the bucket's smallest are then checked, block by block, against
+all texts of other components that their buckets lead to, so no link is lost and no pair becomes a row. Links
+are verified on the exact multisets. Classes are the connected components.
 
 Defined results: a null text is a class of its own; equal texts (empty ones too) are one class; a text of
 fewer than five words is one shingle, one without words is alike to equal texts only; an id that has
@@ -168,23 +168,102 @@ def _links(reps: DataFrame, texts: DataFrame, similarity: float, width: int) ->
     def labelled(df, id_col, name):
         return df.join(labels.select(F.col("id").alias(id_col), F.col("label").alias(name)), id_col, "left").withColumn(name, F.coalesce(name, id_col))
 
-    opened = cut(labelled(labelled(bucket.where("members > 2 and rep <> head"), "rep", "label"), "head", "head_label"))
-    outside = cut(opened.where("label <> head_label").select("key", "rep", "n", "label"))
+    opened = cut(labelled(labelled(bucket.where("members > 2"), "rep", "label"), "head", "head_label"))
+    outside = cut(opened.where("label <> head_label").select("rep", "key").distinct())
     if outside.isEmpty():
         return links, labels
-    p = outside.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    x = opened.join(outside.select("key").distinct(), "key", "left_semi")
-    close = F.least("an", "n") >= similarity * F.greatest("an", "n")
-    once = (F.col("label") == F.col("head_label")) | (F.col("a") < F.col("rep"))
-    more = p.join(x, "key").where((F.col("al") != F.col("label")) & once & close)
-    more = cut(more.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-    more = cut(verify(more, texts, similarity, width))
+    opened = opened.join(guarded_broadcast(cut(outside.select("key").distinct())), "key", "left_semi")
+    # Texts that share open buckets, directly or through others, are one group; its heads are members too.
+    group = components(opened.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    members = opened.select("rep", "label").distinct().join(group.select(F.col("id").alias("rep"), F.col("label").alias("grp")), "rep")
+    members = members.join(outside.select("rep").distinct().withColumn("out", F.lit(True)), "rep", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    more = cut(_between(cut(members), texts, similarity, width))
     if more.isEmpty():
         return links, labels
     links = links.union(more).distinct()
     return links, components(links)
 
 
+#: Texts of a block; a task holds two blocks of texts.
+GROUP_BLOCK = 256
+#: Columns of an incidence matrix that are multiplied at a time.
+COLUMNS = 1 << 14
+
+
+def _between(members: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Verified links (a, b) of ``members`` (rep, label, grp, out): of a group, each text that is ``out`` against all
+    texts of other labels, one link for each two labels.
+
+    A group of any size is cut to blocks; a task multiplies the incidence matrices of two blocks, so pairs are
+    never rows. A multiset is the set of its (shingle, 1..count), so products are exact overlaps.
+    """
+    sizes = members.groupBy("grp").agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins"))
+    of = lambda c: F.ceil(F.col(c) / GROUP_BLOCK).cast("int")
+    sizes = cut(sizes.select("grp", of("outs").alias("bo"), of("ins").alias("bi")))
+    rows = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("bo")).otherwise(F.col("bi"))).cast("int"))
+    rows = rows.join(texts.withColumnRenamed("id", "rep"), "rep")
+    upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    own = F.concat(upto(F.col("bo"), lambda k: task(0, F.least(block, k), F.greatest(block, k))), upto(F.col("bi"), lambda k: task(1, block, k)))
+    tasks = F.when(F.col("out"), own).otherwise(upto(F.col("bo"), lambda k: task(1, k, block)))
+    dealt = rows.select("grp", "rep", "label", "out", "block", "text", F.explode(tasks).alias("t")).select("grp", "t.*", "rep", "label", "out", "block", "text")
+
+    def run(key, table):
+        _, kind, i, j = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        rep, label, block, out = (table.column(c).to_numpy() for c in ("rep", "label", "block", "out"))
+        row, x, _ = _features(table.column("text"), width)
+        total = np.bincount(row, minlength=len(rep))
+        left = (block == i) & (out if kind else True)
+        right = ~out if kind else block == j
+        a, b = _linked(row, x, total, np.flatnonzero(left), np.flatnonzero(right), label, similarity)
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        by = np.lexsort((high, low))
+        new = np.ones(len(by), bool)
+        new[1:] = (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])
+        a, b = a[by][new], b[by][new]
+        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+
+    return dealt.groupBy("grp", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _features(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, feature number) of each (shingle, 1..count), and how many features there are."""
+    rows, hashes, first = [], [], 0
+    for chunk in texts.chunks:
+        for block in blocks(chunk):
+            owner, x, counts = multisets(block, width)
+            level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            rows.append(first + block.first + np.repeat(owner, counts))
+            hashes.append(mix(np.repeat(x, counts) + mix(level.astype(U64))))
+        first += len(chunk)
+    unique, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    return np.concatenate(rows), number, len(unique)
+
+
+def _linked(row, feature, total, left, right, label, similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left and right texts of different labels that are similar enough."""
+    by = np.argsort(feature, kind="stable")
+    row, feature = row[by], feature[by]
+    place = [np.full(len(total), -1) for _ in range(2)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)))
+    n = int(feature[-1]) + 1 if len(feature) else 0
+    for start in range(0, n, COLUMNS):
+        at = slice(*np.searchsorted(feature, [start, start + COLUMNS]))
+        sides = []
+        for side, size in zip(place, (len(left), len(right)), strict=True):
+            where = side[row[at]]
+            matrix = np.zeros((size, min(COLUMNS, n - start)), np.float32)
+            matrix[where[where >= 0], feature[at][where >= 0] - start] = 1
+            sides.append(matrix)
+        both += sides[0] @ sides[1].T
+    union = total[left][:, None] + total[right][None, :] - both
+    a, b = np.nonzero((both >= similarity * union) & (union > 0) & (label[left][:, None] != label[right][None, :]))
+    return left[a], right[b]
+
+
 def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", similarity=SIMILARITY, width=WIDTH, rows=ROWS, bands=BANDS) -> DataFrame:
     """(id, class_id) a row of ``docs``; class_id is the smallest id of the class."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
