@@ -1,12 +1,16 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
-Lines are normalised (lower case, digits as 0, everything else that is no letter as one blank) and equal
-ones collapsed, with the first occurrence by (id, line number) as their name. Each distinct line has a 64-bit
-SimHash over its words, summed as codegen'd counters after one shuffle. Fingerprints that differ in three
-bits at most agree in two of five blocks at least, so each line is entered under ten pairs of blocks. In each
-bucket the members are held against the first one, and those that remain apart against the others of other
-groups; candidates within three bits are verified by edit similarity of the normalised lines. One occurrence
-per connected group stays, the first.
+Lines are normalised (lower case, digits as 0, everything else that is no letter as one blank). Words vote,
+occurrence by occurrence, on the 64 bits of their line's SimHash; the votes of equal lines meet in one sum a
+bit, so that equal lines collapse and their fingerprint comes out in one aggregate that combines before the
+shuffle (a multiple of all votes gives the same majority), and no text is shuffled for it. A line's name is
+its first occurrence by (id, line number).
+
+Fingerprints that differ in three bits at most agree in all but three of their blocks, so each line is
+entered under every choice of so many blocks. The number of blocks grows with the number of lines, so that
+keys stay selective; the result does not depend on it. In each bucket the members are held against the first
+one, and those that remain apart against the others of other groups; candidates within three bits are
+verified by edit similarity of the normalised lines. One occurrence per connected group stays, the first.
 
 Defined results: null texts stay null and have no lines; lines without letters or digits always stay; rows
 that share an id are one document, of which equal line numbers stay or go together; rows without an id stay
@@ -21,44 +25,58 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantara.llm._common import cut, guarded_broadcast, private
+from quantara.llm._common import cut, delete_path, guarded_broadcast, private, scratch_path
 from quantara.llm.components import components
 
 SIMILARITY = 0.9
 DISTANCE = 3
-BLOCKS = 5
 BITS = 64
+#: Line numbers in a name: id * LINES + number.
+LINES = 1 << 32
 
 
-def normal(line):
-    """Words of lower-case letters and 0s, one blank between them."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{N}", "0"), r"[^\p{L}0]+", " "))
+def normal(text):
+    """Words of lower-case letters and 0s with blanks between them; line breaks stay."""
+    folded = F.translate(F.lower(text), "123456789", "000000000")
+    return F.regexp_replace(folded, r"[^\p{L}0\n]+", " ")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, line, norm) of every line that has a word."""
+    parts = docs.select("id", F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("line", "norm"))
+    return parts.select("id", "line", F.trim("norm").alias("norm")).where("norm <> ''")
+
+
+def _digest(norm):
+    """128 bits by which equal lines are found."""
+    return F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(1), norm).alias("h2")
+
+
+def _name(doc_id, line):
+    return doc_id.cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + line.cast("decimal(10,0)")
 
 
 def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(digest, name, uses, size, sim) of (digest, name, uses, norm); stays in ``lines``' partitioning by digest.
-
-    Two counters of 32 bits share a long, so there are half as many sums as bits.
-    """
-    half = BITS // 2
-    words = lines.select("digest", "name", "uses", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("word")).withColumn("h", F.xxhash64("word"))
-    bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
-    sums = [F.sum(bit(i) + F.shiftleft(bit(i + half), half)).alias(f"s{i}") for i in range(half)]
-    counted = words.groupBy("digest").agg(F.first("name").alias("name"), F.first("uses").alias("uses"), F.first("size").alias("size"), F.count("*").alias("n"), *sums)
-    low = lambda i: F.col(f"s{i}").bitwiseAND(F.lit((1 << half) - 1))
-    high = lambda i: F.shiftrightunsigned(F.col(f"s{i}"), half)
-    votes = [*(low(i) for i in range(half)), *(high(i) for i in range(half))]
-    set_bit = lambda i: F.shiftleft(F.lit(1).cast("long"), i)
-    sim = reduce(lambda a, b: a.bitwiseOR(b), (F.when(2 * v > F.col("n"), set_bit(i)).otherwise(F.lit(0).cast("long")) for i, v in enumerate(votes)))
-    return counted.select("digest", "name", "uses", "size", sim.alias("sim"))
-
-
-def _tables(sim):
+    """(h1, h2, name, uses, size, sim) of the distinct lines of (name, norm)."""
+    words = lines.select(*_digest(F.col("norm")), "name", F.length("norm").alias("size"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
+    words = words.withColumn("h", F.xxhash64("word"))
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"s{i}") for i in range(BITS)]
+    counted = words.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.max("size").alias("size"), F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("uses"), *votes)
+    bit = lambda i: F.when(2 * F.col(f"s{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    return counted.select("h1", "h2", "name", "uses", "size", reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(BITS))).alias("sim"))
+
+
+def block_number(lines: int) -> int:
+    """The fewest blocks whose keys have about as many values as there are lines."""
+    return next(b for b in range(DISTANCE + 2, 12) if (b - DISTANCE) * (BITS // b) >= min(lines, 1 << 38).bit_length() or b == 11)
+
+
+def _tables(sim, blocks: int):
     """The bucket keys of a fingerprint: one for each choice of as many blocks as must agree."""
-    width = -(-BITS // BLOCKS)
-    block = [F.shiftrightunsigned(sim, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)]
+    width = -(-BITS // blocks)
+    block = [F.shiftrightunsigned(sim, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)]
     keys = []
-    for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
+    for t, chosen in enumerate(combinations(range(blocks), blocks - DISTANCE)):
         key = F.lit(t).cast("long")
         for k in chosen:
             key = F.shiftleft(key, width).bitwiseOR(block[k])
@@ -74,78 +92,111 @@ def _alike(m, n, similarity):
     return F.least(m, n) >= similarity * F.greatest(m, n)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of names whose normalised lines have the edit similarity; ``lines``: (id, texts as arrays of lines)."""
-    pairs = cut(pairs)
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    wanted = guarded_broadcast(cut(names.select(F.col("name.id").alias("id"), F.col("name.line").alias("line"))))
-    texts = lines.join(wanted, "id").select(F.struct("id", "line").alias("name"), normal(F.get("lines", F.col("line"))).alias("norm"))
-    texts = cut(texts.groupBy("name").agg(F.min("norm").alias("norm")))
-    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("name").alias("b"), F.col("norm").alias("y")), "b")
-    longest = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    # The bound must be a literal, so pairs are held against their power of two first, which ends hopeless ones early.
-    steps = [2**k for k in range(4, 24)]
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of line numbers whose normalised lines have the edit similarity."""
+    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    wanted = names.join(guarded_broadcast(cut(ids)), "lid").select("lid", F.floor(F.col("name") / LINES).cast("long").alias("id"), (F.pmod(F.col("name"), F.lit(LINES).cast("decimal(11,0)"))).cast("int").alias("line"))
+    texts = docs.join(guarded_broadcast(cut(wanted)), "id").select("lid", F.trim(normal(F.get(F.split("text", "\n", -1), F.col("line")))).alias("norm"))
+    texts = cut(texts.groupBy("lid").agg(F.min("norm").alias("norm")))
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
+    most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
+    both = both.select("a", "b", most.alias("most"), "x", "y")
+    for _ in range(2):  # what both begin with takes no part in the distance; turned round, what both end with
+        same = _common_prefix(F.col("x"), F.col("y"))
+        both = both.select("a", "b", "most", "x", "y", same.alias("same"))
+        both = both.select("a", "b", "most", *(F.reverse(F.expr(f"substring({c}, same + 1)")).alias(c) for c in "xy"))
+    # The bound of the bounded form must be a literal: the next power of two ends hopeless pairs early.
     distance = F.lit(-1)
-    for step in reversed(steps):
-        distance = F.when(most <= step, F.levenshtein("x", "y", step)).otherwise(distance)
-    return both.where((distance >= 0) & (distance <= most)).select("a", "b")
-
-
-def line_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(digest, name, uses, keep) of the distinct normalised lines, ``keep`` being the name of the occurrence that stays,
-    and the lines themselves (id, lines)."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
-    each = lines.select("id", F.posexplode("lines").alias("line", "raw")).select("id", "line", normal(F.col("raw")).alias("norm")).where("norm <> ''")
-    each = each.select(F.md5("norm").alias("digest"), F.struct("id", "line").alias("name"), "norm")
-    distinct = each.groupBy("digest").agg(F.min("name").alias("name"), F.count("*").alias("uses"), F.first("norm").alias("norm"))
-    prints = cut(_fingerprints(distinct))
-
-    rows = prints.select("name", "size", "sim", F.explode(_tables(F.col("sim"))).alias("key"))
-    member = F.struct("name", "size", "sim")
-    heads = cut(rows.groupBy("key").agg(F.min(member).alias("head"), F.max(member).alias("last"), F.count("*").alias("members")).where("members > 1"))
-    two = heads.where("members = 2").select("head", F.col("last").alias("other"))
+    for step in reversed([2**k for k in range(4, 24)]):
+        distance = F.when(F.col("most") <= step, F.levenshtein("x", "y", step)).otherwise(distance)
+    return both.where((distance >= 0) & (distance <= F.col("most"))).select("a", "b")
+
+
+def _common_prefix(x, y):
+    """Length of what two texts begin with, by halving steps (up to 2**20 characters)."""
+    shorter = F.least(F.length(x), F.length(y))
+
+    def further(at, step):
+        equal = F.substr(x, at + 1, step) == F.substr(y, at + 1, step)
+        return F.when((at + step <= shorter) & equal, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(19, -1, -1))), F.lit(0), further)
+
+
+def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, name, uses, keep) of the distinct lines of (id, text), ``keep`` being the name of the occurrence that
+    stays. ``path``: a folder for the fingerprints, which the result reads."""
+    spark = docs.sparkSession
+    named = _lines(docs).select(_name(F.col("id"), F.col("line")).alias("name"), "norm")
+    # Numbered as they are written, once.
+    _fingerprints(named).withColumn("lid", F.monotonically_increasing_id()).write.parquet(path)
+    prints = spark.read.parquet(path)
+    brief = prints.select("lid", "size", "sim")
+
+    # Dealt by key without a partial sum, which would only widen the rows: nearly all keys are single.
+    keys = prints.select("lid", F.explode(_tables(F.col("sim"), block_number(prints.count()))).alias("key"))
+    heads = keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1")
+    heads = cut(heads)
     crowded = guarded_broadcast(cut(heads.where("members > 2").select("key", "head")))
-    more = cut(rows.join(crowded, "key").where("name <> head.name").select("key", "head", member.alias("other")))
-    star = two.union(more.select("head", "other"))
-    star = star.where(_near(F.col("head.sim"), F.col("other.sim")) & _alike(F.col("head.size"), F.col("other.size"), similarity))
-    links = cut(_verified(star.select(F.col("head.name").alias("a"), F.col("other.name").alias("b")).distinct(), lines, similarity))
+    more = cut(keys.join(crowded, "key").where("lid <> head").select("key", "head", "lid"))
+
+    def near(pairs):
+        """Candidates among (a, b): within three bits and of similar length."""
+        pairs = pairs.distinct()
+        for end in "ab":
+            pairs = pairs.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
+        return cut(pairs.where(_near(F.col("sim_a"), F.col("sim_b")) & _alike(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b"))
+
+    star = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(more.select("head", "lid"))
+    names = prints.select("lid", "name")
+    links = cut(_verified(near(star), docs, names, similarity))
     labels = None if links.isEmpty() else components(links)
 
-    def label(df, name, to):
+    def label(df, lid, to):
         if labels is None:
-            return df.withColumn(to, F.col(name))
-        found = labels.select(F.col("id").alias("found_name"), F.col("label").alias("found_label"))
-        return df.join(found, F.col(name) == F.col("found_name"), "left").withColumn(to, F.coalesce("found_label", name)).drop("found_name", "found_label")
-
-    # Members of crowded buckets that the stars left outside of their head's group.
-    opened = cut(label(label(more, "other.name", "label"), "head.name", "head_label"))
-    outside = opened.where("label <> head_label").select("key", F.col("other").alias("p"), F.col("label").alias("p_label"))
-    pairs = outside.join(opened, "key").where(F.col("p_label") != F.col("label")).where((F.col("label") == F.col("head_label")) | (F.col("p.name") < F.col("other.name")))
-    pairs = pairs.where(_near(F.col("p.sim"), F.col("other.sim")) & _alike(F.col("p.size"), F.col("other.size"), similarity))
-    pairs = cut(pairs.select(F.least("p.name", "other.name").alias("a"), F.greatest("p.name", "other.name").alias("b")).distinct())
+            return df.withColumn(to, F.col(lid))
+        found = labels.select(F.col("id").alias("found_id"), F.col("label").alias("found_label"))
+        return df.join(found, F.col(lid) == F.col("found_id"), "left").withColumn(to, F.coalesce("found_label", lid)).drop("found_id", "found_label")
+
+    # Members of crowded buckets that the stars left outside of their head's group; with their fingerprints, so
+    # that the join itself drops what is not near.
+    brief_more = more.join(brief, "lid")
+    opened = cut(label(label(brief_more, "lid", "label"), "head", "head_label"))
+    outside = opened.where("label <> head_label").select("key", F.col("lid").alias("p"), F.col("label").alias("p_label"), F.col("sim").alias("p_sim"), F.col("size").alias("p_size"))
+    once = (F.col("label") == F.col("head_label")) | (F.col("p") < F.col("lid"))
+    close = _near(F.col("p_sim"), F.col("sim")) & _alike(F.col("p_size"), F.col("size"), similarity)
+    pairs = outside.alias("o").join(opened.alias("m"), (F.col("o.key") == F.col("m.key")) & (F.col("p_label") != F.col("label")) & once & close)
+    pairs = cut(pairs.select(F.least("p", "lid").alias("a"), F.greatest("p", "lid").alias("b")).distinct())
     if not pairs.isEmpty():
-        found = cut(_verified(pairs, lines, similarity))
+        found = cut(_verified(pairs, docs, names, similarity))
         if not found.isEmpty():
             links = links.union(found).distinct()
             labels = components(links)
-    return label(prints, "name", "keep").select("digest", "name", "uses", "keep"), lines
+    if labels is None:
+        return prints.select("h1", "h2", "name", "uses", F.col("name").alias("keep"))
+    # Components are named by numbers; the occurrence that stays is the first by name.
+    grouped = cut(labels.withColumnRenamed("id", "lid").join(names, "lid"))
+    first = grouped.groupBy("label").agg(F.min("name").alias("keep"))
+    kept = guarded_broadcast(cut(grouped.join(first, "label").select("lid", "keep")))
+    return prints.join(kept, "lid", "left").select("h1", "h2", "name", "uses", F.coalesce("keep", "name").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, out=("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with ``text_col`` cut to the lines that stay, and the numbers of lines before and dropped."""
-    groups, lines = line_groups(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    spark = docs.sparkSession
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    path = scratch_path(spark, "lines")
     # Only lines with several occurrences, or in a group with others, can go.
-    risky = cut(groups.where("uses > 1 or keep <> name").select("digest", "keep"))
-    each = lines.select("id", F.posexplode("lines").alias("line", "raw")).select("id", "line", F.md5(normal(F.col("raw"))).alias("digest"))
-    gone = each.join(guarded_broadcast(risky), "digest").where(F.struct("id", "line") != F.col("keep"))
+    risky = cut(line_groups(slim, path, similarity).where("uses > 1 or keep <> name").select("h1", "h2", "keep"))
+    delete_path(spark, path)
+    each = _lines(slim).select("id", "line", *_digest(F.col("norm")))
+    gone = each.join(guarded_broadcast(risky), ["h1", "h2"]).where(_name(F.col("id"), F.col("line")) != F.col("keep"))
     key, drop = private(docs, "line_doc", "line_drop")
-    gone = cut(gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(drop)))  # bounded by a document's lines
+    gone = guarded_broadcast(cut(gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(drop))))  # bounded by a document's lines
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in out}]
     x = docs.select(*kept).join(gone, docs[id_col].cast("long") == F.col(key), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.filter(parts, lambda _, i: ~F.array_contains(F.col(drop), i))
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    counts = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size(drop), F.lit(0))
-    counts = [F.when(c < 0, F.lit(0)).otherwise(c).cast("long") for c in counts]
+    counts = [F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(v)).cast("long") for c, v in ((text_col, parts), (drop, F.col(drop)))]
     return x.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept), *(c.alias(n) for c, n in zip(counts, out, strict=True)))

@@ -6,7 +6,7 @@ from quantara.llm import line_dedup as D
 
 
 def normal(line):
-    return re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).strip()
+    return re.sub(r"[\W_]+", " ", re.sub(r"[0-9]", "0", line.lower())).strip()
 
 
 def edits(a, b):
@@ -24,8 +24,8 @@ def alike(a, b):
 
 
 def prints(spark, lines):
-    df = spark.createDataFrame([(x, str(i), 1, x) for i, x in enumerate(lines)], "digest string, name string, uses int, norm string")
-    return {r["digest"]: r["sim"] & (2**64 - 1) for r in D._fingerprints(df).collect()}
+    df = spark.createDataFrame(list(enumerate(lines)), "name int, norm string")
+    return {lines[r["name"]]: r["sim"] & (2**64 - 1) for r in D._fingerprints(df).collect()}
 
 
 def brute(spark, docs):
@@ -107,5 +107,8 @@ def test_three_bits_share_two_blocks(spark):
         rows.append((x - 2**63, y - 2**63))
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame(rows, "x long, y long").select(D._tables(F.col("x")).alias("x"), D._tables(F.col("y")).alias("y"))
-    assert df.where(F.size(F.array_intersect("x", "y")) == 0).count() == 0
+    df = spark.createDataFrame(rows, "x long, y long")
+    assert [D.block_number(n) for n in (0, 10**6, 2**28, 2**33, 2**40)] == [5, 5, 6, 7, 8]
+    for blocks in (5, 6, 7):
+        tables = df.select(D._tables(F.col("x"), blocks).alias("x"), D._tables(F.col("y"), blocks).alias("y"))
+        assert tables.where(F.size(F.array_intersect("x", "y")) == 0).count() == 0
