@@ -1,0 +1,3 @@
+"""Error-bounded particle analytics on PySpark."""
+
+__version__ = "0.1.0"
