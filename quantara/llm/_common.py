@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count of it shows no more rows than this.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count proves that ``df`` is small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else df
+    """Hint a broadcast if a count proves that ``df`` (a materialised table) is small; otherwise leave the join to shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

@@ -56,14 +56,37 @@ def _name(doc_id, line):
     return doc_id.cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + line.cast("decimal(10,0)")
 
 
+#: Votes up to which two counters of 32 bits share a long.
+VOTES = 1 << 31
+
+
 def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(h1, h2, name, uses, size, sim) of the distinct lines of (name, norm)."""
+    """(h1, h2, name, uses, size, sim, votes) of the distinct lines of (name, norm); sim holds up to VOTES votes."""
+    half = BITS // 2
     words = lines.select(*_digest(F.col("norm")), "name", F.length("norm").alias("size"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
     words = words.withColumn("h", F.xxhash64("word"))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"s{i}") for i in range(BITS)]
-    counted = words.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.max("size").alias("size"), F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("uses"), *votes)
-    bit = lambda i: F.when(2 * F.col(f"s{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return counted.select("h1", "h2", "name", "uses", "size", reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(BITS))).alias("sim"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << half | 1))).alias(f"s{i}") for i in range(half)]
+    counted = words.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.max("size").alias("size"), F.count("*").alias("votes"), F.count_if(F.col("at") == 0).alias("uses"), *sums)
+    counts = [*(F.col(f"s{i}").bitwiseAND(F.lit((1 << half) - 1)) for i in range(half)), *(F.shiftrightunsigned(f"s{i}", half) for i in range(half))]
+    bits = (F.when(2 * c > F.col("votes"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i, c in enumerate(counts))
+    return counted.select("h1", "h2", "name", "uses", "size", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"), "votes")
+
+
+def _recounted(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """``prints`` with the lines of more than VOTES votes fingerprinted from their first occurrence alone."""
+    hot = cut(prints.where(F.col("votes") > VOTES).select("name"))
+    if hot.isEmpty():
+        return prints
+    one = _lines_named(docs, hot).groupBy("name").agg(F.min("norm").alias("norm"))
+    again = cut(_fingerprints(one).select("h1", "h2", F.col("sim").alias("again")))
+    return prints.join(guarded_broadcast(again), ["h1", "h2"], "left").withColumn("sim", F.coalesce("again", "sim")).drop("again")
+
+
+def _lines_named(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, norm) of the lines with the names, and what else ``names`` has."""
+    place = F.floor(F.col("name") / LINES).cast("long"), F.pmod(F.col("name"), F.lit(LINES).cast("decimal(11,0)")).cast("int")
+    wanted = guarded_broadcast(cut(names.select("*", place[0].alias("id"), place[1].alias("line"))))
+    return docs.join(wanted, "id").select(*names.columns, F.trim(normal(F.get(F.split("text", "\n", -1), F.col("line")))).alias("norm"))
 
 
 def block_number(lines: int) -> int:
@@ -95,8 +118,7 @@ def _alike(m, n, similarity):
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of line numbers whose normalised lines have the edit similarity."""
     ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    wanted = names.join(guarded_broadcast(cut(ids)), "lid").select("lid", F.floor(F.col("name") / LINES).cast("long").alias("id"), (F.pmod(F.col("name"), F.lit(LINES).cast("decimal(11,0)"))).cast("int").alias("line"))
-    texts = docs.join(guarded_broadcast(cut(wanted)), "id").select("lid", F.trim(normal(F.get(F.split("text", "\n", -1), F.col("line")))).alias("norm"))
+    texts = _lines_named(docs, names.join(guarded_broadcast(cut(ids)), "lid").select("lid", "name"))
     texts = cut(texts.groupBy("lid").agg(F.min("norm").alias("norm")))
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
     most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
@@ -105,11 +127,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: f
         same = _common_prefix(F.col("x"), F.col("y"))
         both = both.select("a", "b", "most", "x", "y", same.alias("same"))
         both = both.select("a", "b", "most", *(F.reverse(F.expr(f"substring({c}, same + 1)")).alias(c) for c in "xy"))
-    # The bound of the bounded form must be a literal: the next power of two ends hopeless pairs early.
-    distance = F.lit(-1)
-    for step in reversed([2**k for k in range(4, 24)]):
-        distance = F.when(F.col("most") <= step, F.levenshtein("x", "y", step)).otherwise(distance)
-    return both.where((distance >= 0) & (distance <= F.col("most"))).select("a", "b")
+    # Within a bound t the distance costs length x t, so near pairs are found by a small one; -1 is beyond it.
+    within = F.lit(False)
+    for k in range(3, 25, 2):
+        distance = F.pmod(F.levenshtein("x", "y", 1 << k), F.lit(1 << 30))
+        within = within | ((F.lit(k == 3) | (F.col("most") > 1 << (k - 2))) & (distance <= F.col("most")))
+    return both.where(within).select("a", "b")
 
 
 def _common_prefix(x, y):
@@ -130,7 +153,7 @@ def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> D
     named = _lines(docs).select(_name(F.col("id"), F.col("line")).alias("name"), "norm")
     # Numbered as they are written, once.
     _fingerprints(named).withColumn("lid", F.monotonically_increasing_id()).write.parquet(path)
-    prints = spark.read.parquet(path)
+    prints = _recounted(spark.read.parquet(path), docs)
     brief = prints.select("lid", "size", "sim")
 
     # Dealt by key without a partial sum, which would only widen the rows: nearly all keys are single.
