@@ -11,18 +11,32 @@ from quantara.llm._common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label) of every end of a link; label is the smallest id of its component. Ids may be of any ordered type.
 
-    Each round hooks a node's label to the smallest of its neighbours' and then follows labels once, so
-    that paths shorten by half a round. Labels are materialised each round. Sums over hot nodes combine
-    before the shuffle, and joins on them have plain exchanges on both sides, which can be split.
+    Each round hooks every node to its smallest smaller neighbour, follows the hooks to their roots by
+    doubling, and contracts the links to what joins different roots. Stars are done in a round, and links
+    shrink from round to round, so the work is about that of the first. Sums over hot nodes combine before
+    the shuffle, and joins on them have plain exchanges on both sides, which can be split.
     """
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = cut(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    low, high = F.least(a, b), F.greatest(a, b)
+    edges = cut(links.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct())
+    labels = None
     while True:
-        near = edges.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = cut(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        to = hooked.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = cut(hooked.join(to, "label").select("id", "old", F.col("next").alias("label")))
-        if new.where("label <> old").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+        best = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("best"))
+        hooks = cut(nodes.join(best, "id", "left").select("id", F.coalesce("best", "id").alias("label")))
+        while True:
+            to = hooks.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            further = cut(hooks.join(to, "label").select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            hooks = further.select("id", "label")
+            if further.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = hooks
+        else:
+            to = hooks.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            labels = cut(labels.join(to, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
+        for end in "ab":
+            edges = edges.join(hooks.withColumnsRenamed({"id": end, "label": f"root_{end}"}), end)
+        edges = edges.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        edges = cut(edges.distinct())
+        if edges.isEmpty():
+            return labels

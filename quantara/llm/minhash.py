@@ -191,8 +191,8 @@ COLUMNS = 1 << 14
 
 
 def _between(members: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Verified links (a, b) of ``members`` (rep, label, grp, out): of a group, each text that is ``out`` against all
-    texts of other labels, one link for each two labels.
+    """Pairs (a, b) of labels that a verified link ties, of ``members`` (rep, label, grp, out): of a group, each text
+    that is ``out`` is held against all texts of other labels.
 
     A group of any size is cut to blocks; a task multiplies the incidence matrices of two blocks, so pairs are
     never rows. A multiset is the set of its (shingle, 1..count), so products are exact overlaps.
@@ -207,14 +207,14 @@ def _between(members: DataFrame, texts: DataFrame, similarity: float, width: int
     block = F.col("block")
     own = F.concat(upto(F.col("bo"), lambda k: task(0, F.least(block, k), F.greatest(block, k))), upto(F.col("bi"), lambda k: task(1, block, k)))
     tasks = F.when(F.col("out"), own).otherwise(upto(F.col("bo"), lambda k: task(1, k, block)))
-    dealt = rows.select("grp", "rep", "label", "out", "block", "text", F.explode(tasks).alias("t")).select("grp", "t.*", "rep", "label", "out", "block", "text")
+    dealt = rows.select("grp", "rep", "label", "out", "block", "text", F.explode(tasks).alias("t")).select("grp", "t.*", "label", "out", "block", "text")
 
     def run(key, table):
         _, kind, i, j = (k.as_py() for k in key)
         table = table.combine_chunks()
-        rep, label, block, out = (table.column(c).to_numpy() for c in ("rep", "label", "block", "out"))
+        label, block, out = (table.column(c).to_numpy() for c in ("label", "block", "out"))
         row, x, _ = _features(table.column("text"), width)
-        total = np.bincount(row, minlength=len(rep))
+        total = np.bincount(row, minlength=len(label))
         left = (block == i) & (out if kind else True)
         right = ~out if kind else block == j
         a, b = _linked(row, x, total, np.flatnonzero(left), np.flatnonzero(right), label, similarity)
@@ -222,8 +222,7 @@ def _between(members: DataFrame, texts: DataFrame, similarity: float, width: int
         by = np.lexsort((high, low))
         new = np.ones(len(by), bool)
         new[1:] = (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])
-        a, b = a[by][new], b[by][new]
-        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+        return pa.table({"a": low[by][new], "b": high[by][new]})
 
     return dealt.groupBy("grp", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
