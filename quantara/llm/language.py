@@ -37,8 +37,8 @@ SMOOTHING = 0.1
 #: Weight of the BIC penalty of a further language: overlapping n-grams are fewer observations than their number.
 PENALTY = 3.0
 ROUNDS, TOLERANCE = 40, 1e-4
-#: Below this proportion, or without letters, the pipeline's stage rejects a document.
-LEAST_SCORE = 0.5
+#: Below this proportion of the likeliest language, or without letters, the pipeline's stage rejects a document.
+LEAST_SCORE = 0.4
 UNKNOWN = "und"
 
 
