@@ -13,7 +13,7 @@ from quantara.llm._common import scratch_path, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or with no language of half their n-grams, go."""
+    """Documents without letters, or with no language for 0.4 of their n-grams, go."""
     return language.identified(docs)
 
 
