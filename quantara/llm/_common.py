@@ -50,9 +50,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def words_count(text):
-    """Number of maximal runs of anything but ASCII white space, as a column; null counts none."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +"))).cast("long")
+    """Number of maximal runs of anything but ASCII white space, as a column; null counts none.
+
+    White space at an end leaves an empty part there, which is no word.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    first = F.when(F.get(parts, 0) == "", 1).otherwise(0)
+    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - first - last).cast("long")
 
 
 def private(df: DataFrame, *names: str) -> list[str]:

@@ -37,7 +37,7 @@ LINES = 1 << 32
 
 def normal(text):
     """Words of lower-case letters and 0s with blanks between them; line breaks stay."""
-    folded = F.translate(F.lower(text), "123456789", "000000000")
+    folded = F.regexp_replace(F.lower(text), "[1-9]", "0")
     return F.regexp_replace(folded, r"[^\p{L}0\n]+", " ")
 
 

@@ -4,10 +4,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from quantara.llm import decontaminate, mixing, queries, sharding
+from quantara.llm._common import words_count
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
@@ -37,6 +39,14 @@ def test_shards_equal_their_sql(spark):
     assert (got.text_crc32 == [zlib.crc32(t.encode()) for t in texts]).all()
 
 
+def test_words_are_counted_like_the_pattern(spark):
+    import re
+
+    texts = ["", " ", "a", " a", "a ", " a  b\t\n", "\x0b\x0c", "é\x85b c", "a\x1fb", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(words_count(F.col("text"))).collect()
+    assert [r[0] for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_mix_edges(make_docs):
     rows = [(1, "a b c", None, "s"), (2, None, None, "s"), (3, "a", None, None), (3, "a", None, None), (None, "a b", None, "t"), (4, "x " * 5000, None, "u"), (5, "", None, "v")]
     df = make_docs(rows, extra=True)
