@@ -26,12 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so later steps neither recompute it nor depend on an executor."""
+    """Materialise ``df`` in the shared folder, so later steps neither recompute it nor depend on an executor.
+
+    A checkpoint hands its plan's constraints on, and from round to round of a loop they multiply until planning
+    takes minutes; so none are inferred here.
+    """
     spark = df.sparkSession
     base = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
