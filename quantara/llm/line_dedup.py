@@ -1,16 +1,16 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
-Lines are normalised (lower case, digits as 0, everything else that is no letter as one blank). Words vote,
-occurrence by occurrence, on the 64 bits of their line's SimHash; the votes of equal lines meet in one sum a
-bit, so that equal lines collapse and their fingerprint comes out in one aggregate that combines before the
-shuffle (a multiple of all votes gives the same majority), and no text is shuffled for it. A line's name is
-its first occurrence by (id, line number).
-
-Fingerprints that differ in three bits at most agree in all but three of their blocks, so each line is
-entered under every choice of so many blocks. The number of blocks grows with the number of lines, so that
-keys stay selective; the result does not depend on it. In each bucket the members are held against the first
-one, and those that remain apart against the others of other groups; candidates within three bits are
-verified by edit similarity of the normalised lines. One occurrence per connected group stays, the first.
+Lines are normalised (lower case, digits as 0, everything else that is no letter as one blank). Equal lines
+collapse first, so that each distinct line is fingerprinted once, from one of its texts. A line's name is its
+first occurrence by (id, line number).
+
+Pairs to look at share a key. The runs of a few characters that a line is made of are hashed and sorted; the range of
+hashes is cut into bins, and the first run of a bin with those next to it makes a key: all of them agree in two lines
+about as often as a run of either is in both, to the power of their number. Short lines have shorter runs, of which one
+edit touches fewer. The parities of first runs make a sketch of 64 bits, of which similar lines differ in few. In each
+bucket the members are held against the first one, and those that remain apart against the others of other groups;
+candidates within DISTANCE bits are verified by edit similarity of the normalised lines. One occurrence per connected
+group stays, the first. The recall is below 1 and stated in the README by length.
 
 Defined results: null texts stay null and have no lines; lines without letters or digits always stay; rows
 that share an id are one document, of which equal line numbers stay or go together; rows without an id stay
@@ -19,7 +19,6 @@ as they are; an empty table gives an empty result; other columns are carried alo
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -29,8 +28,11 @@ from quantara.llm._common import cut, delete_path, guarded_broadcast, private, s
 from quantara.llm.components import components
 
 SIMILARITY = 0.9
-DISTANCE = 3
+#: Bits of the sketch by which lines of that similarity differ at most (all but a few).
+DISTANCE = 24
 BITS = 64
+#: Up to how many characters of a line: characters of a run, runs of a key, bins (an even number).
+KINDS = ((30, 3, 2, 32), (80, 4, 3, 32), (1 << 31, 6, 3, 24))
 #: Line numbers in a name: id * LINES + number.
 LINES = 1 << 32
 
@@ -56,30 +58,73 @@ def _name(doc_id, line):
     return doc_id.cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + line.cast("decimal(10,0)")
 
 
-#: Votes up to which two counters of 32 bits share a long.
-VOTES = 1 << 31
+def _runs(text, length: int):
+    """The sorted hashes of the runs of so many characters from each place of a text on; the last ones are shorter."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?=(.{{1,{length}}}))"), F.lit(1))
+    return F.sort_array(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
-def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(h1, h2, name, uses, size, sim, votes) of the distinct lines of (name, norm); sim holds up to VOTES votes."""
-    half = BITS // 2
-    words = lines.select(*_digest(F.col("norm")), "name", F.length("norm").alias("size"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
-    words = words.withColumn("h", F.xxhash64("word"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << half | 1))).alias(f"s{i}") for i in range(half)]
-    counted = words.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.max("size").alias("size"), F.count("*").alias("votes"), F.count_if(F.col("at") == 0).alias("uses"), *sums)
-    counts = [*(F.col(f"s{i}").bitwiseAND(F.lit((1 << half) - 1)) for i in range(half)), *(F.shiftrightunsigned(f"s{i}", half) for i in range(half))]
-    bits = (F.when(2 * c > F.col("votes"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i, c in enumerate(counts))
-    return counted.select("h1", "h2", "name", "uses", "size", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"), "votes")
+def _counted(hashes):
+    """Sorted hashes without repeats, but with another one for each power of two that a run's repeats reach: lines of few
+    unlike runs, many times over, are not judged by their last words."""
 
+    def at(x, i, back):
+        return F.coalesce(F.get(hashes, i - back) == x, F.lit(False))
 
-def _recounted(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """``prints`` with the lines of more than VOTES votes fingerprinted from their first occurrence alone."""
-    hot = cut(prints.where(F.col("votes") > VOTES).select("name"))
-    if hot.isEmpty():
-        return prints
-    one = _lines_named(docs, hot).groupBy("name").agg(F.min("norm").alias("norm"))
-    again = cut(_fingerprints(one).select("h1", "h2", F.col("sim").alias("again")))
-    return prints.join(guarded_broadcast(again), ["h1", "h2"], "left").withColumn("sim", F.coalesce("again", "sim")).drop("again")
+    def again(x, i):
+        return F.coalesce(*(F.when(at(x, i, 1 << j) & ~at(x, i, (1 << j) + 1), F.xxhash64(x, F.lit(j))) for j in range(31)))
+
+    return F.sort_array(F.array_compact(F.transform(hashes, lambda x, i: F.when(~at(x, i, 1), x).otherwise(again(x, i)))))
+
+
+def _bin(x, bins: int):
+    return F.shiftright(F.shiftrightunsigned(x, 32) * F.lit(bins).cast("long"), 32)
+
+
+def _first(hashes, bins: int):
+    """Whether x at place i of the sorted hashes is the first of its bin."""
+    return lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get(hashes, i - 1), bins))
+
+
+def _keys(hashes, kind: int):
+    _, _, rows, bins = KINDS[kind]
+    first = _first(hashes, bins)
+
+    def key(x, i):
+        return F.xxhash64(F.lit(kind), _bin(x, bins), x, *(F.get(hashes, F.pmod(i + k, F.size(hashes))) for k in range(1, rows)))
+
+    return F.array_compact(F.transform(hashes, lambda x, i: F.when(first(x, i), key(x, i))))
+
+
+def _sketch(hashes):
+    def add(bits, x):
+        return bits.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(F.lit(1).cast("long")), _bin(x, BITS).cast("int")))
+
+    return F.aggregate(F.filter(hashes, _first(hashes, BITS)), F.lit(0).cast("long"), add)
+
+
+def _fingerprints(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, name, uses, size, sim, keys) of the distinct lines of (name, norm).
+
+    Lines at the border of two kinds have the keys of both, so that alike lines always share a kind; lines too short
+    for any edit have none.
+    """
+    named = lines.select(*_digest(F.col("norm")), "name", "norm")
+    one = named.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.count("*").alias("uses"), F.first("norm").alias("norm"))
+    one = one.withColumn("size", F.length("norm"))
+    able = (1 - similarity) / similarity * F.col("size") + 1e-9 >= 1
+    low, among = 0, []
+    for most, *_ in KINDS:
+        among.append(able & (F.col("size") >= low) & (F.col("size") * similarity < most))
+        low = most
+    runs = [_runs(F.when(has, F.col("norm")).otherwise(""), length) for has, (_, length, *_) in zip(among[:-1], KINDS)]
+    about = ["h1", "h2", "name", "uses", "size"]
+    hashed = one.select(*about, among[-1].alias("long"), *(r.alias(f"r{k}") for k, r in enumerate([*runs, _runs(F.col("norm"), KINDS[-1][1])])))
+    last = len(KINDS) - 1
+    hashed = hashed.select(*about, "long", *(_counted(F.col(f"r{k}")).alias(f"r{k}") for k in range(last + 1)))
+    none = F.array().cast("array<bigint>")
+    keys = [*(_keys(F.col(f"r{k}"), k) for k in range(last)), F.when(F.col("long"), _keys(F.col(f"r{last}"), last)).otherwise(none)]
+    return hashed.select(*about, _sketch(F.col(f"r{last}")).alias("sim"), F.concat(*keys).alias("keys"))
 
 
 def _lines_named(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -89,9 +134,14 @@ def _lines_named(docs: DataFrame, names: DataFrame) -> DataFrame:
     return docs.join(wanted, "id").select(*names.columns, F.trim(normal(F.get(F.split("text", "\n", -1), F.col("line")))).alias("norm"))
 
 
+#: The blocks of a sketch, in which those that differ in SURE bits at most cannot miss each other. The operator itself
+#: no longer looks lines up by them.
+SURE = 3
+
+
 def block_number(lines: int) -> int:
     """The fewest blocks whose keys have about as many values as there are lines."""
-    return next(b for b in range(DISTANCE + 2, 12) if (b - DISTANCE) * (BITS // b) >= min(lines, 1 << 38).bit_length() or b == 11)
+    return next(b for b in range(SURE + 2, 12) if (b - SURE) * (BITS // b) >= min(lines, 1 << 38).bit_length() or b == 11)
 
 
 def _tables(sim, blocks: int):
@@ -99,7 +149,7 @@ def _tables(sim, blocks: int):
     width = -(-BITS // blocks)
     block = [F.shiftrightunsigned(sim, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)]
     keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - DISTANCE)):
+    for t, chosen in enumerate(combinations(range(blocks), blocks - SURE)):
         key = F.lit(t).cast("long")
         for k in chosen:
             key = F.shiftleft(key, width).bitwiseOR(block[k])
@@ -152,19 +202,19 @@ def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> D
     spark = docs.sparkSession
     named = _lines(docs).select(_name(F.col("id"), F.col("line")).alias("name"), "norm")
     # Numbered as they are written, once.
-    _fingerprints(named).withColumn("lid", F.monotonically_increasing_id()).write.parquet(path)
-    prints = _recounted(spark.read.parquet(path), docs)
+    _fingerprints(named, similarity).withColumn("lid", F.monotonically_increasing_id()).write.parquet(path)
+    prints = spark.read.parquet(path)
     brief = prints.select("lid", "size", "sim")
 
     # Dealt by key without a partial sum, which would only widen the rows: nearly all keys are single.
-    keys = prints.select("lid", F.explode(_tables(F.col("sim"), block_number(prints.count()))).alias("key"))
+    keys = prints.select("lid", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1")
     heads = cut(heads)
     crowded = guarded_broadcast(cut(heads.where("members > 2").select("key", "head")))
     more = cut(keys.join(crowded, "key").where("lid <> head").select("key", "head", "lid"))
 
     def near(pairs):
-        """Candidates among (a, b): within three bits and of similar length."""
+        """Candidates among (a, b): within DISTANCE bits and of similar length."""
         pairs = pairs.distinct()
         for end in "ab":
             pairs = pairs.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)

@@ -112,3 +112,34 @@ def test_three_bits_share_two_blocks(spark):
     for blocks in (5, 6, 7):
         tables = df.select(D._tables(F.col("x"), blocks).alias("x"), D._tables(F.col("y"), blocks).alias("y"))
         assert tables.where(F.size(F.array_intersect("x", "y")) == 0).count() == 0
+
+
+def edited(rng, line, k, scattered):
+    """``line`` after up to k edits of characters: at places of their own, or in one run."""
+    chars = list(line)
+    for p in sorted(rng.sample(range(len(chars)), k) if scattered else range(p := rng.randrange(len(chars) - k + 1), p + k), reverse=True):
+        how = rng.randrange(3) if scattered else 0
+        chars[p : p + 1] = [rng.choice("ijklmnop")] if how == 0 else [chars[p], rng.choice("ijklmnop")] if how == 1 else []
+    return normal("".join(chars))
+
+
+def test_recall_by_length_against_edit_similarity_alone(spark, make_docs):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    docs, pairs = [], {}
+    for words in ((2, 10), (10, 20), (20, 40), (40, 80), (80, 120)):
+        for i in range(120):
+            a = " ".join(word() for _ in range(rng.randrange(*words)))
+            if len(a) < 10:
+                continue
+            b = edited(rng, a, rng.randint(1, len(a) // 10), i % 2)
+            if a != b and alike(a, b):
+                pairs.setdefault(words, []).append((len(docs), len(docs) + 1))
+                docs += [(len(docs), a), (len(docs) + 1, b)]
+    got = {r["doc_id"]: r["n_dropped"] for r in D.dedup_lines(make_docs(docs)).collect()}
+    for words, both in pairs.items():
+        assert len(both) > 80
+        assert sum(got[b] for _, b in both) >= 0.9 * len(both), words
+    texts = dict(docs)
+    for b in (i for i, n in got.items() if n):
+        assert any(alike(texts[a], texts[b]) for a in texts if a < b and 0.9 <= len(texts[a]) / len(texts[b]) <= 1 / 0.9 and (a == b - 1 or len(texts[b]) < 60))
