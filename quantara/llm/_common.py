@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if a count of it shows no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only if it is measured to take no more bytes than this.
+BROADCAST_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and
+    all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quantara-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -44,9 +48,28 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count proves that ``df`` (a materialised table) is small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _row_bytes(df: DataFrame):
+    """About the bytes that a row takes in a hashed table, as a column; None for columns of no known size."""
+    total = F.lit(32).cast("long")
+    for field in df.schema:
+        kind, c = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total += 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            total += 24 + 8 * F.coalesce(F.size(c), F.lit(0))
+        elif isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            total += 16
+        else:
+            return None
+    return total
+
+
+def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if ``df`` (a materialised table) is measured to be small; otherwise leave the join to shuffle."""
+    row = _row_bytes(df)
+    if row is None or (df.agg(F.sum(row)).first()[0] or 0) > limit:
+        return df
+    return F.broadcast(df)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

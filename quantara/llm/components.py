@@ -25,9 +25,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hooks = cut(nodes.join(best, "id", "left").select("id", F.coalesce("best", "id").alias("label")))
         while True:
             to = hooks.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            further = cut(hooks.join(to, "label").select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
-            hooks = further.select("id", "label")
-            if further.where("moved").isEmpty():
+            far = to.select(F.col("label").alias("next"), F.col("next").alias("far"))
+            further = hooks.join(to, "label").join(far, "next")
+            hooks = cut(further.select("id", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+            still = hooks.where("moved").isEmpty()
+            hooks = hooks.select("id", "label")
+            if still:
                 break
         if labels is None:
             labels = hooks

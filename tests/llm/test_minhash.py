@@ -104,6 +104,33 @@ def test_drop_keeps_one_of_each(make_docs):
     assert M.drop_near_duplicates(empty).count() == 0 and M.near_duplicates(empty).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(make_docs):
+    rows = [(5, "alpha beta gamma"), (5, "delta epsilon zeta"), (3, "same text"), (5, "same text"), (5, "a unique text here"), (5, "a unique text here")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        out = M.drop_near_duplicates(make_docs(rows, extra=True)).collect()
+        want = [(3, "same text"), (5, "a unique text here"), (5, "alpha beta gamma"), (5, "delta epsilon zeta")]
+        assert sorted((r["doc_id"], r["text"]) for r in out) == want
+    kept = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in M.near_duplicates(make_docs(rows)).collect())
+    assert kept == [(3, 3, True), (5, 3, False), *[(5, 5, True)] * 4]
+
+
+def test_blocks_of_any_size_lose_no_link(make_docs, monkeypatch):
+    monkeypatch.setattr(M, "GROUP_BLOCK", 3)
+    monkeypatch.setattr(M, "COLUMNS", 5)
+    rows = corpus()
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(make_docs(rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_shingles_that_only_a_polynomial_confuses():
+    a = "0"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("01", "10"))
+    b = a.translate(str.maketrans("01", "10"))
+    assert M.similarities(pa.array([a, a, f"x {a}"]), pa.array([b, a, f"x {b}"])).tolist() == [0, 1, 0]
+
+
 def test_components_of_a_long_path_and_stars(spark):
     rng = random.Random(7)
     order = rng.sample(range(60), 60)
