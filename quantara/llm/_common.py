@@ -32,20 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so later steps neither recompute it nor depend on an executor.
 
-    A checkpoint hands its plan's constraints on, and from round to round of a loop they multiply until planning
-    takes minutes; so none are inferred here.
+    A checkpoint hands on its plan's constraints and estimated size; in a loop of joins the estimates are products of
+    products, numbers of more and more digits, and planning takes minutes and the driver's heap. So the rows are
+    wrapped anew, without either.
     """
     spark = df.sparkSession
     base = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    done = df.checkpoint(eager=True)._jdf
+    plain = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def _row_bytes(df: DataFrame):
