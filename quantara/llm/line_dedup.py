@@ -1,26 +1,27 @@
-"""Fuzzy line deduplication with DataFrame operations only.
-
-Lines are normalised (lower case, digits as 0, everything else that is no letter as one blank). Equal lines
-collapse first, so that each distinct line is fingerprinted once, from one of its texts. A line's name is its
-first occurrence by (id, line number).
-
-Pairs to look at share a key. The runs of a few characters that a line is made of are hashed and sorted; the range of
-hashes is cut into bins, and the first run of a bin with those next to it makes a key: all of them agree in two lines
-about as often as a run of either is in both, to the power of their number. Short lines have shorter runs, of which one
-edit touches fewer. The parities of first runs make a sketch of 64 bits, of which similar lines differ in few. In each
-bucket the members are held against the first one, and those that remain apart against the others of other groups;
-candidates within DISTANCE bits are verified by edit similarity of the normalised lines. One occurrence per connected
-group stays, the first. The recall is below 1 and stated in the README by length.
-
-Defined results: null texts stay null and have no lines; lines without letters or digits always stay; rows
-that share an id are one document, of which equal line numbers stay or go together; rows without an id stay
-as they are; an empty table gives an empty result; other columns are carried along.
+"""Fuzzy line deduplication by SimHash blocks, with DataFrame operations only.
+
+Lines are normalised to lower-case words of letters with a blank between them. Equal lines collapse first. A line's
+name is its place (id, hash of the text, line number), and the first place stands for it.
+
+A line's fingerprint is a SimHash that is voted on block by block: its words of four letters and more (short lines:
+its runs of three characters) are ordered by hash, the range of hashes has a border for each block, and the four that
+come next after a border cast the block's votes; a bit is set if more than half of them have it. So a changed word
+disturbs the blocks next to it and leaves the others whole, lines of any length have votes of the same weight, and the
+pigeonhole principle holds for blocks: lines that differ in fewer blocks than there are agree in a block. (With all
+words voting on all bits, a tenth of the words changed moves ten bits of 64 anywhere, and hardly a block is whole.)
+
+Lines that agree in a block are candidates. In each bucket the members are held against one of them, in rounds with
+another one each; those that remain apart are held against the members of other groups. Candidates within DISTANCE of
+the 64 bits that the blocks give up for a short fingerprint are verified by edit similarity of the normalised lines:
+by edits of words, and where a line is short (below 72 characters), by edits of characters. per connected group stays, the first. The recall is below 1 and stated in the README by length.
+
+Defined results: null texts stay null and have no lines; lines without letters always stay; rows that share an id and
+a text are one document, so that equal line numbers stay or go together, and rows that share an id alone are not; rows
+without an id stay as they are; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +29,38 @@ from quantara.llm._common import cut, delete_path, guarded_broadcast, private, s
 from quantara.llm.components import components
 
 SIMILARITY = 0.9
-#: Bits of the sketch by which lines of that similarity differ at most (all but a few).
-DISTANCE = 24
-BITS = 64
-#: Up to how many characters of a line: characters of a run, runs of a key, bins (an even number).
-KINDS = ((30, 3, 2, 32), (80, 4, 3, 32), (1 << 31, 6, 3, 24))
-#: Line numbers in a name: id * LINES + number.
-LINES = 1 << 32
+#: Bits of the short fingerprint by which lines of that similarity differ at most (all but a few).
+DISTANCE = 16
+#: Lines below so many characters are made of runs of RUN characters, others of words.
+SHORT, RUN = 80, 3
+#: Letters of a word that votes, if the line has any.
+LETTERS = 4
+#: Blocks of short and of other lines (powers of two, 64 at most).
+BLOCKS = (16, 8)
+#: Rounds of stars, each with a head of its own, before what is left is held against each other.
+ROUNDS = 2
+
+
+def _words(line):
+    """The words of a line: runs of letters, in lower case."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}]+", -1), "")
+
 
+def normal(line):
+    """The words of a line with a blank between them."""
+    return F.array_join(_words(line), " ")
 
-def normal(text):
-    """Words of lower-case letters and 0s with blanks between them; line breaks stay."""
-    folded = F.regexp_replace(F.lower(text), "[1-9]", "0")
-    return F.regexp_replace(folded, r"[^\p{L}0\n]+", " ")
+
+def _document(text):
+    """Number that tells apart the texts of an id."""
+    return F.xxhash64(text)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, norm) of every line that has a word."""
-    parts = docs.select("id", F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("line", "norm"))
-    return parts.select("id", "line", F.trim("norm").alias("norm")).where("norm <> ''")
+    """(id, doc, line, norm, words) of every line that has a word."""
+    parts = docs.select("id", _document(F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    parts = parts.select("id", "doc", "line", _words(F.col("raw")).alias("words"))
+    return parts.select("id", "doc", "line", F.array_join("words", " ").alias("norm"), "words").where("norm <> ''")
 
 
 def _digest(norm):
@@ -54,204 +68,191 @@ def _digest(norm):
     return F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(1), norm).alias("h2")
 
 
-def _name(doc_id, line):
-    return doc_id.cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + line.cast("decimal(10,0)")
-
-
-def _runs(text, length: int):
-    """The sorted hashes of the runs of so many characters from each place of a text on; the last ones are shorter."""
-    runs = F.regexp_extract_all(text, F.lit(f"(?=(.{{1,{length}}}))"), F.lit(1))
-    return F.sort_array(F.transform(runs, lambda x: F.xxhash64(x)))
-
+def _block(x, blocks: int):
+    """The block whose border is next below x."""
+    return F.shiftrightunsigned(x, 64 - (blocks.bit_length() - 1))
 
-def _counted(hashes):
-    """Sorted hashes without repeats, but with another one for each power of two that a run's repeats reach: lines of few
-    unlike runs, many times over, are not judged by their last words."""
 
-    def at(x, i, back):
-        return F.coalesce(F.get(hashes, i - back) == x, F.lit(False))
+def _votes(hashes, blocks: int):
+    """(block, bits): of each block with a word, the votes of the four words from its border on, in hash order.
 
-    def again(x, i):
-        return F.coalesce(*(F.when(at(x, i, 1 << j) & ~at(x, i, (1 << j) + 1), F.xxhash64(x, F.lit(j))) for j in range(31)))
+    ``hashes`` ascend; longs are signed, so the first block is the one in the middle, which does no harm.
+    """
 
-    return F.sort_array(F.array_compact(F.transform(hashes, lambda x, i: F.when(~at(x, i, 1), x).otherwise(again(x, i)))))
+    def first(x, i):
+        return (i == 0) | (_block(x, blocks) != _block(F.get(hashes, i - 1), blocks))
 
+    def majority(x, i):
+        y, z, w = (F.get(hashes, F.pmod(i + k, F.size(hashes))) for k in (1, 2, 3))
+        two, other = x.bitwiseAND(y), z.bitwiseAND(w)
+        return two.bitwiseAND(z.bitwiseOR(w)).bitwiseOR(other.bitwiseAND(x.bitwiseOR(y)))
 
-def _bin(x, bins: int):
-    return F.shiftright(F.shiftrightunsigned(x, 32) * F.lit(bins).cast("long"), 32)
+    def vote(x, i):
+        return F.when(first(x, i), F.struct(_block(x, blocks).cast("int").alias("block"), majority(x, i).alias("bits")))
 
+    return F.array_compact(F.transform(hashes, vote))
 
-def _first(hashes, bins: int):
-    """Whether x at place i of the sorted hashes is the first of its bin."""
-    return lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get(hashes, i - 1), bins))
 
+def _keys(votes, kind: int):
+    return F.transform(votes, lambda v: F.xxhash64(F.lit(kind), v["block"], v["bits"]))
 
-def _keys(hashes, kind: int):
-    _, _, rows, bins = KINDS[kind]
-    first = _first(hashes, bins)
 
-    def key(x, i):
-        return F.xxhash64(F.lit(kind), _bin(x, bins), x, *(F.get(hashes, F.pmod(i + k, F.size(hashes))) for k in range(1, rows)))
+def _sketch(votes, blocks: int):
+    """64 bits: as many of each block's."""
+    width = 64 // blocks
 
-    return F.array_compact(F.transform(hashes, lambda x, i: F.when(first(x, i), key(x, i))))
+    def add(all_bits, v):
+        own = v["bits"].bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        return all_bits.bitwiseOR(F.call_function("shiftleft", own, v["block"] * width))
 
+    return F.aggregate(votes, F.lit(0).cast("long"), add)
 
-def _sketch(hashes):
-    def add(bits, x):
-        return bits.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(F.lit(1).cast("long")), _bin(x, BITS).cast("int")))
 
-    return F.aggregate(F.filter(hashes, _first(hashes, BITS)), F.lit(0).cast("long"), add)
+def _is_long(size, similarity: float):
+    """Lines that have votes of words; those below SHORT have votes of runs too, so that alike lines share a kind."""
+    return size >= similarity * SHORT
 
 
 def _fingerprints(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, name, uses, size, sim, keys) of the distinct lines of (name, norm).
-
-    Lines at the border of two kinds have the keys of both, so that alike lines always share a kind; lines too short
-    for any edit have none.
-    """
-    named = lines.select(*_digest(F.col("norm")), "name", "norm")
-    one = named.groupBy("h1", "h2").agg(F.min("name").alias("name"), F.count("*").alias("uses"), F.first("norm").alias("norm"))
-    one = one.withColumn("size", F.length("norm"))
-    able = (1 - similarity) / similarity * F.col("size") + 1e-9 >= 1
-    low, among = 0, []
-    for most, *_ in KINDS:
-        among.append(able & (F.col("size") >= low) & (F.col("size") * similarity < most))
-        low = most
-    runs = [_runs(F.when(has, F.col("norm")).otherwise(""), length) for has, (_, length, *_) in zip(among[:-1], KINDS)]
-    about = ["h1", "h2", "name", "uses", "size"]
-    hashed = one.select(*about, among[-1].alias("long"), *(r.alias(f"r{k}") for k, r in enumerate([*runs, _runs(F.col("norm"), KINDS[-1][1])])))
-    last = len(KINDS) - 1
-    hashed = hashed.select(*about, "long", *(_counted(F.col(f"r{k}")).alias(f"r{k}") for k in range(last + 1)))
-    none = F.array().cast("array<bigint>")
-    keys = [*(_keys(F.col(f"r{k}"), k) for k in range(last)), F.when(F.col("long"), _keys(F.col(f"r{last}"), last)).otherwise(none)]
-    return hashed.select(*about, _sketch(F.col(f"r{last}")).alias("sim"), F.concat(*keys).alias("keys"))
-
-
-def _lines_named(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, norm) of the lines with the names, and what else ``names`` has."""
-    place = F.floor(F.col("name") / LINES).cast("long"), F.pmod(F.col("name"), F.lit(LINES).cast("decimal(11,0)")).cast("int")
-    wanted = guarded_broadcast(cut(names.select("*", place[0].alias("id"), place[1].alias("line"))))
-    return docs.join(wanted, "id").select(*names.columns, F.trim(normal(F.get(F.split("text", "\n", -1), F.col("line")))).alias("norm"))
-
-
-#: The blocks of a sketch, in which those that differ in SURE bits at most cannot miss each other. The operator itself
-#: no longer looks lines up by them.
-SURE = 3
-
-
-def block_number(lines: int) -> int:
-    """The fewest blocks whose keys have about as many values as there are lines."""
-    return next(b for b in range(SURE + 2, 12) if (b - SURE) * (BITS // b) >= min(lines, 1 << 38).bit_length() or b == 11)
-
-
-def _tables(sim, blocks: int):
-    """The bucket keys of a fingerprint: one for each choice of as many blocks as must agree."""
-    width = -(-BITS // blocks)
-    block = [F.shiftrightunsigned(sim, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - SURE)):
-        key = F.lit(t).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(block[k])
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _near(a, b):
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-
-
-def _alike(m, n, similarity):
-    return F.least(m, n) >= similarity * F.greatest(m, n)
+    """``lines`` with h1, h2, size, sim, keys instead of (norm, words); lines too short for any edit have no keys."""
+    about = [c for c in lines.columns if c not in ("norm", "words")]
+    voting = F.filter("words", lambda w: F.octet_length(w) >= LETTERS)
+    sized = lines.select(*about, *_digest(F.col("norm")), F.length("norm").alias("size"), "norm", "words", voting.alias("long_words"))
+    size, none = F.col("size"), F.array().cast("array<bigint>")
+    able = (1 - similarity) / similarity * size + 1e-9 >= 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (RUN - 1), F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(RUN))))
+    words = F.transform(F.when(F.size("long_words") > 0, F.col("long_words")).otherwise(F.col("words")), lambda w: F.xxhash64(w))
+    ordered = lambda use, x: F.when(use, F.sort_array(F.array_distinct(x))).otherwise(none)
+    long = _is_long(size, similarity)
+    hashed = sized.select(*about, "h1", "h2", "size", ordered(able & (size < SHORT), runs).alias("runs"), ordered(able & long, words).alias("word_hashes"))
+    voted = hashed.select(*about, "h1", "h2", "size", _votes(F.col("runs"), BLOCKS[0]).alias("short"), _votes(F.col("word_hashes"), BLOCKS[1]).alias("long"))
+    sim = F.when(long, _sketch(F.col("long"), BLOCKS[1])).otherwise(_sketch(F.col("short"), BLOCKS[0]))
+    return voted.select(*about, "h1", "h2", "size", sim.alias("sim"), F.concat(_keys(F.col("short"), 0), _keys(F.col("long"), 1)).alias("keys"))
+
+
+def _near(size_a, sim_a, size_b, sim_b, similarity: float):
+    """Whether lines may be alike, by their lengths and short fingerprints (which compare within a kind)."""
+    sizes = F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)
+    return sizes & ((_is_long(size_a, similarity) != _is_long(size_b, similarity)) | (F.bit_count(sim_a.bitwiseXOR(sim_b)) <= DISTANCE))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of line numbers whose normalised lines have the edit similarity."""
+    """Pairs (a, b) of line numbers whose normalised lines have the edit similarity. ``names``: (lid, name).
+
+    Edits of words cost a fraction of what those of characters do: a line of n characters has a table of n * n / 5
+    cells within the bound, one of n / 6 words a 36th of it.
+    """
     ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    texts = _lines_named(docs, names.join(guarded_broadcast(cut(ids)), "lid").select("lid", "name"))
-    texts = cut(texts.groupBy("lid").agg(F.min("norm").alias("norm")))
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
+    wanted = names.join(guarded_broadcast(cut(ids)), "lid")
+    # A document's text is split once, however many of its lines are wanted.
+    wanted = wanted.groupBy("name.id", "name.doc").agg(F.collect_list(F.struct("lid", "name.line")).alias("wanted"))
+    texts = docs.withColumn("doc", _document(F.col("text"))).join(guarded_broadcast(cut(wanted)), ["id", "doc"])
+    texts = texts.select(F.split("text", "\n", -1).alias("lines"), "wanted").select("lines", F.explode("wanted").alias("w"))
+    texts = texts.select("w.lid", _words(F.get("lines", F.col("w.line"))).alias("words")).withColumn("norm", F.array_join("words", " "))
+    size = F.length("norm")
+    texts = texts.select("lid", size.alias("size"), F.when(size < SHORT, F.col("norm")).alias("norm"), F.when(_is_long(size, similarity), _symbols(F.col("words"))).alias("symbols"))
+    texts = cut(texts.dropDuplicates(["lid"]))
+    both = pairs
+    for end in "ab":
+        both = both.join(texts.select(F.col("lid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", "norm", "symbols"))), end)
+    by_words = _is_long(F.least("size_a", "size_b"), similarity)
+    both = both.select("a", "b", *(F.when(by_words, F.col(f"symbols_{end}")).otherwise(F.col(f"norm_{end}")).alias(to) for end, to in zip("ab", "xy")))
     most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-    both = both.select("a", "b", most.alias("most"), "x", "y")
-    for _ in range(2):  # what both begin with takes no part in the distance; turned round, what both end with
-        same = _common_prefix(F.col("x"), F.col("y"))
-        both = both.select("a", "b", "most", "x", "y", same.alias("same"))
-        both = both.select("a", "b", "most", *(F.reverse(F.expr(f"substring({c}, same + 1)")).alias(c) for c in "xy"))
-    # Within a bound t the distance costs length x t, so near pairs are found by a small one; -1 is beyond it.
-    within = F.lit(False)
-    for k in range(3, 25, 2):
-        distance = F.pmod(F.levenshtein("x", "y", 1 << k), F.lit(1 << 30))
-        within = within | ((F.lit(k == 3) | (F.col("most") > 1 << (k - 2))) & (distance <= F.col("most")))
-    return both.where(within).select("a", "b")
+    both = both.select("a", "b", "x", "y", most.alias("most")).repartition(_parts(pairs))  # small rows, much work
+    return both.where("levenshtein(x, y, most) >= 0").select("a", "b")
 
 
-def _common_prefix(x, y):
-    """Length of what two texts begin with, by halving steps (up to 2**20 characters)."""
-    shorter = F.least(F.length(x), F.length(y))
+def _symbols(words):
+    """A text with one character for each word: one of 2**20, by the word's hash."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    low, high = 0x3FF, 0xFFC00
+    pairs = F.transform(hashes, lambda h: F.hex(F.lit(0xD800DC00) + F.shiftleft(h.bitwiseAND(F.lit(high).cast("long")), 6) + h.bitwiseAND(F.lit(low).cast("long"))))
+    return F.decode(F.unhex(F.array_join(pairs, "")), "UTF-16BE")
 
-    def further(at, step):
-        equal = F.substr(x, at + 1, step) == F.substr(y, at + 1, step)
-        return F.when((at + step <= shorter) & equal, at + step).otherwise(at)
 
-    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(19, -1, -1))), F.lit(0), further)
+def _parts(pairs: DataFrame, each: int = 2000) -> int:
+    """A number of partitions with so many pairs each, and work for all cores."""
+    return max(-(-pairs.count() // each), pairs.sparkSession.sparkContext.defaultParallelism)
 
 
-def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, name, uses, keep) of the distinct lines of (id, text), ``keep`` being the name of the occurrence that
-    stays. ``path``: a folder for the fingerprints, which the result reads."""
-    spark = docs.sparkSession
-    named = _lines(docs).select(_name(F.col("id"), F.col("line")).alias("name"), "norm")
-    # Numbered as they are written, once.
-    _fingerprints(named, similarity).withColumn("lid", F.monotonically_increasing_id()).write.parquet(path)
-    prints = spark.read.parquet(path)
-    brief = prints.select("lid", "size", "sim")
+def _labelled(df: DataFrame, labels: DataFrame | None, lid: str, to: str) -> DataFrame:
+    if labels is None:
+        return df.withColumn(to, F.col(lid))
+    found = labels.select(F.col("id").alias("found_id"), F.col("label").alias("found_label"))
+    return df.join(found, F.col(lid) == F.col("found_id"), "left").withColumn(to, F.coalesce("found_label", lid)).drop("found_id", "found_label")
+
 
-    # Dealt by key without a partial sum, which would only widen the rows: nearly all keys are single.
+def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
+    """(id, label) of the lines (lid) that verified links tie to others; None without links."""
+    brief, names = prints.select("lid", "size", "sim"), prints.select("lid", "name")
     keys = prints.select("lid", F.explode("keys").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1")
-    heads = cut(heads)
-    crowded = guarded_broadcast(cut(heads.where("members > 2").select("key", "head")))
-    more = cut(keys.join(crowded, "key").where("lid <> head").select("key", "head", "lid"))
-
-    def near(pairs):
-        """Candidates among (a, b): within DISTANCE bits and of similar length."""
-        pairs = pairs.distinct()
-        for end in "ab":
-            pairs = pairs.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
-        return cut(pairs.where(_near(F.col("sim_a"), F.col("sim_b")) & _alike(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b"))
-
-    star = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(more.select("head", "lid"))
-    names = prints.select("lid", "name")
-    links = cut(_verified(near(star), docs, names, similarity))
-    labels = None if links.isEmpty() else components(links)
-
-    def label(df, lid, to):
-        if labels is None:
-            return df.withColumn(to, F.col(lid))
-        found = labels.select(F.col("id").alias("found_id"), F.col("label").alias("found_label"))
-        return df.join(found, F.col(lid) == F.col("found_id"), "left").withColumn(to, F.coalesce("found_label", lid)).drop("found_id", "found_label")
-
-    # Members of crowded buckets that the stars left outside of their head's group; with their fingerprints, so
-    # that the join itself drops what is not near.
-    brief_more = more.join(brief, "lid")
-    opened = cut(label(label(brief_more, "lid", "label"), "head", "head_label"))
-    outside = opened.where("label <> head_label").select("key", F.col("lid").alias("p"), F.col("label").alias("p_label"), F.col("sim").alias("p_sim"), F.col("size").alias("p_size"))
-    once = (F.col("label") == F.col("head_label")) | (F.col("p") < F.col("lid"))
-    close = _near(F.col("p_sim"), F.col("sim")) & _alike(F.col("p_size"), F.col("size"), similarity)
-    pairs = outside.alias("o").join(opened.alias("m"), (F.col("o.key") == F.col("m.key")) & (F.col("p_label") != F.col("label")) & once & close)
-    pairs = cut(pairs.select(F.least("p", "lid").alias("a"), F.greatest("p", "lid").alias("b")).distinct())
-    if not pairs.isEmpty():
-        found = cut(_verified(pairs, docs, names, similarity))
-        if not found.isEmpty():
-            links = links.union(found).distinct()
+    heads = cut(keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1"))
+    crowded = guarded_broadcast(heads.where("members > 2").select("key"))
+    members = cut(keys.join(crowded, "key").join(brief, "lid"))
+    links = labels = None
+    for turn in range(ROUNDS + 1):
+        # Members of buckets that are more than one group yet; a head for each of these.
+        rows = cut(_labelled(members.select("key", "lid", "size", "sim"), labels, "lid", "label"))
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("lid", F.xxhash64("lid", F.lit(turn))).alias("head"))
+        several = guarded_broadcast(cut(several.where("low <> high").select("key", "head")))
+        members = cut(rows.join(several, "key"))
+        if turn < ROUNDS:
+            head = members.where("lid = head").select("key", *(F.col(c).alias(f"h_{c}") for c in ("size", "sim", "label")))
+            star = members.where("lid <> head").join(guarded_broadcast(head), "key")
+            star = star.where((F.col("label") != F.col("h_label")) & _near(F.col("size"), F.col("sim"), F.col("h_size"), F.col("h_sim"), similarity))
+            found = star.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b"))
+        else:
+            found = _remaining(members.drop("head"), similarity)
+        if not turn:  # the buckets of two
+            two = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).distinct()
+            for end in "ab":
+                two = two.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
+            found = found.union(two.where(_near(F.col("size_a"), F.col("sim_a"), F.col("size_b"), F.col("sim_b"), similarity)).select("a", "b"))
+        found = cut(found.distinct())
+        if found.isEmpty():
+            continue
+        new = cut(_verified(found, docs, names, similarity))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
             labels = components(links)
+    return labels
+
+
+def _remaining(members: DataFrame, similarity: float) -> DataFrame:
+    """Near pairs (a, b) of members (key, lid, size, sim, label) of a bucket that have different labels; the largest
+    group of a bucket is met by the others and not by itself."""
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    hub = groups.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("hub"))
+    hub = guarded_broadcast(cut(hub))
+    rows = cut(members.join(hub, "key"))
+    out = rows.where("label <> hub").select("key", *(F.col(c).alias(f"o_{c}") for c in ("lid", "size", "sim", "label")))
+    once = (F.col("label") == F.col("hub")) | (F.col("o_lid") < F.col("lid"))
+    near = _near(F.col("size"), F.col("sim"), F.col("o_size"), F.col("o_sim"), similarity)
+    # The join itself drops what is not near.
+    pairs = out.alias("o").join(rows.alias("r"), (F.col("o.key") == F.col("r.key")) & (F.col("label") != F.col("o_label")) & once & near)
+    return pairs.select(F.least("o_lid", "lid").alias("a"), F.greatest("o_lid", "lid").alias("b"))
+
+
+def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(lines, groups) of (id, text): (id, doc, line, h1, h2) of each line, and (h1, h2, name, uses, keep) of the
+    distinct ones, ``keep`` being the name of the occurrence that stays. ``path``: a folder that both read."""
+    spark = docs.sparkSession
+    _fingerprints(_lines(docs), similarity).write.parquet(f"{path}/lines")
+    lines = spark.read.parquet(f"{path}/lines")
+    name = F.struct("id", "doc", "line").alias("name")
+    one = lines.groupBy("h1", "h2").agg(F.min(name).alias("name"), F.count("*").alias("uses"), *(F.first(c).alias(c) for c in ("size", "sim", "keys")))
+    one.withColumn("lid", F.monotonically_increasing_id()).write.parquet(f"{path}/prints")  # numbered as they are written, once
+    prints = spark.read.parquet(f"{path}/prints")
+    labels = _links(prints, docs, similarity)
+    about = ["h1", "h2", "name", "uses"]
+    lines = lines.select("id", "doc", "line", "h1", "h2")
     if labels is None:
-        return prints.select("h1", "h2", "name", "uses", F.col("name").alias("keep"))
+        return lines, prints.select(*about, F.col("name").alias("keep"))
     # Components are named by numbers; the occurrence that stays is the first by name.
-    grouped = cut(labels.withColumnRenamed("id", "lid").join(names, "lid"))
+    grouped = cut(labels.withColumnRenamed("id", "lid").join(prints.select("lid", "name"), "lid"))
     first = grouped.groupBy("label").agg(F.min("name").alias("keep"))
-    kept = guarded_broadcast(cut(grouped.join(first, "label").select("lid", "keep")))
-    return prints.join(kept, "lid", "left").select("h1", "h2", "name", "uses", F.coalesce("keep", "name").alias("keep"))
+    kept = grouped.join(first, "label").select("lid", "keep")
+    return lines, prints.join(kept, "lid", "left").select(*about, F.coalesce("keep", "name").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, out=("n_lines", "n_dropped")) -> DataFrame:
@@ -259,15 +260,17 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", similarity
     spark = docs.sparkSession
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     path = scratch_path(spark, "lines")
+    lines, groups = line_groups(slim, path, similarity)
     # Only lines with several occurrences, or in a group with others, can go.
-    risky = cut(line_groups(slim, path, similarity).where("uses > 1 or keep <> name").select("h1", "h2", "keep"))
+    risky = groups.where("uses > 1 or keep <> name").select("h1", "h2", "keep.*").withColumnsRenamed({"id": "keep_id", "doc": "keep_doc", "line": "keep_line"})
+    stays = (F.col("id") == F.col("keep_id")) & (F.col("doc") == F.col("keep_doc")) & (F.col("line") == F.col("keep_line"))
+    gone = lines.join(guarded_broadcast(cut(risky)), ["h1", "h2"]).where(~stays)
+    key, doc, drop = private(docs, "line_id", "line_doc", "line_drop")
+    gone = cut(gone.groupBy(F.col("id").alias(key), F.col("doc").alias(doc)).agg(F.collect_set("line").alias(drop)))  # bounded by a document's lines
     delete_path(spark, path)
-    each = _lines(slim).select("id", "line", *_digest(F.col("norm")))
-    gone = each.join(guarded_broadcast(risky), ["h1", "h2"]).where(_name(F.col("id"), F.col("line")) != F.col("keep"))
-    key, drop = private(docs, "line_doc", "line_drop")
-    gone = guarded_broadcast(cut(gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(drop))))  # bounded by a document's lines
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in out}]
-    x = docs.select(*kept).join(gone, docs[id_col].cast("long") == F.col(key), "left")
+    same = (F.col(id_col).cast("long") == F.col(key)) & (_document(F.col(text_col).cast("string")) == F.col(doc))
+    x = docs.select(*kept).join(guarded_broadcast(gone), same, "left")
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.filter(parts, lambda _, i: ~F.array_contains(F.col(drop), i))
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
