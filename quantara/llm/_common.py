@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles and checkpoints that nothing refers to any more: Spark deletes their files once the driver's
+    garbage is collected, which may else be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _row_bytes(df: DataFrame):
     """About the bytes that a row takes in a hashed table, as a column; None for columns of no known size."""
     total = F.lit(32).cast("long")

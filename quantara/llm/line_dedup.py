@@ -25,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantara.llm._common import cut, delete_path, guarded_broadcast, private, scratch_path
+from quantara.llm._common import cut, delete_path, guarded_broadcast, private, release, scratch_path
 from quantara.llm.components import components
 
 SIMILARITY = 0.9
 #: Bits of the short fingerprint by which lines of that similarity differ at most (all but a few).
-DISTANCE = 16
+DISTANCE = 13
 #: Lines below so many characters are made of runs of RUN characters, others of words.
 SHORT, RUN = 80, 3
 #: Letters of a word that votes, if the line has any.
@@ -57,10 +57,11 @@ def _document(text):
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, doc, line, norm, words) of every line that has a word."""
+    """(id, doc, line, norm, words) of every line; one without a word has an empty ``norm``. (A filter here would have the
+    words made twice, for itself and for the result.)"""
     parts = docs.select("id", _document(F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     parts = parts.select("id", "doc", "line", _words(F.col("raw")).alias("words"))
-    return parts.select("id", "doc", "line", F.array_join("words", " ").alias("norm"), "words").where("norm <> ''")
+    return parts.select("id", "doc", "line", F.array_join("words", " ").alias("norm"), "words")
 
 
 def _digest(norm):
@@ -136,22 +137,27 @@ def _near(size_a, sim_a, size_b, sim_b, similarity: float):
     return sizes & ((_is_long(size_a, similarity) != _is_long(size_b, similarity)) | (F.bit_count(sim_a.bitwiseXOR(sim_b)) <= DISTANCE))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of line numbers whose normalised lines have the edit similarity. ``names``: (lid, name).
+def _texts(lids: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """(lid, size, norm, symbols) of the lines: the text of short ones, a character a word of the others.
 
-    Edits of words cost a fraction of what those of characters do: a line of n characters has a table of n * n / 5
-    cells within the bound, one of n / 6 words a 36th of it.
+    ``names``: (lid, name). Documents are dealt once; a document's text is split once, however many of its lines are wanted.
     """
-    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    wanted = names.join(guarded_broadcast(cut(ids)), "lid")
-    # A document's text is split once, however many of its lines are wanted.
+    wanted = names.join(guarded_broadcast(cut(lids.distinct())), "lid")
     wanted = wanted.groupBy("name.id", "name.doc").agg(F.collect_list(F.struct("lid", "name.line")).alias("wanted"))
-    texts = docs.withColumn("doc", _document(F.col("text"))).join(guarded_broadcast(cut(wanted)), ["id", "doc"])
+    texts = docs.withColumn("doc", _document(F.col("text"))).join(wanted, ["id", "doc"])
     texts = texts.select(F.split("text", "\n", -1).alias("lines"), "wanted").select("lines", F.explode("wanted").alias("w"))
     texts = texts.select("w.lid", _words(F.get("lines", F.col("w.line"))).alias("words")).withColumn("norm", F.array_join("words", " "))
     size = F.length("norm")
     texts = texts.select("lid", size.alias("size"), F.when(size < SHORT, F.col("norm")).alias("norm"), F.when(_is_long(size, similarity), _symbols(F.col("words"))).alias("symbols"))
-    texts = cut(texts.dropDuplicates(["lid"]))
+    return cut(texts.dropDuplicates(["lid"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of line numbers whose normalised lines have the edit similarity.
+
+    Edits of words cost a fraction of what those of characters do: a line of n characters has a table of n * n / 5
+    cells within the bound, one of n / 6 words a 36th of it.
+    """
     both = pairs
     for end in "ab":
         both = both.join(texts.select(F.col("lid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", "norm", "symbols"))), end)
@@ -184,11 +190,17 @@ def _labelled(df: DataFrame, labels: DataFrame | None, lid: str, to: str) -> Dat
 
 def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
     """(id, label) of the lines (lid) that verified links tie to others; None without links."""
-    brief, names = prints.select("lid", "size", "sim"), prints.select("lid", "name")
+    brief = prints.select("lid", "size", "sim")
     keys = prints.select("lid", F.explode("keys").alias("key"))
     heads = cut(keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1"))
     crowded = guarded_broadcast(heads.where("members > 2").select("key"))
     members = cut(keys.join(crowded, "key").join(brief, "lid"))
+    two = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).distinct()
+    for end in "ab":
+        two = two.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
+    two = cut(two.where(_near(F.col("size_a"), F.col("sim_a"), F.col("size_b"), F.col("sim_b"), similarity)).select("a", "b"))
+    texts = _texts(members.select("lid").union(two.select("a")).union(two.select("b")), docs, prints.select("lid", "name"), similarity)
+    release(docs.sparkSession)
     links = labels = None
     for turn in range(ROUNDS + 1):
         # Members of buckets that are more than one group yet; a head for each of these.
@@ -203,18 +215,14 @@ def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
             found = star.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b"))
         else:
             found = _remaining(members.drop("head"), similarity)
-        if not turn:  # the buckets of two
-            two = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).distinct()
-            for end in "ab":
-                two = two.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
-            found = found.union(two.where(_near(F.col("size_a"), F.col("sim_a"), F.col("size_b"), F.col("sim_b"), similarity)).select("a", "b"))
-        found = cut(found.distinct())
+        found = cut((found if turn else found.union(two)).distinct())
         if found.isEmpty():
             continue
-        new = cut(_verified(found, docs, names, similarity))
+        new = cut(_verified(found, texts, similarity))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
+        release(docs.sparkSession)
     return labels
 
 
@@ -238,11 +246,12 @@ def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> t
     distinct ones, ``keep`` being the name of the occurrence that stays. ``path``: a folder that both read."""
     spark = docs.sparkSession
     _fingerprints(_lines(docs), similarity).write.parquet(f"{path}/lines")
-    lines = spark.read.parquet(f"{path}/lines")
+    lines = spark.read.parquet(f"{path}/lines").where("size > 0")
     name = F.struct("id", "doc", "line").alias("name")
     one = lines.groupBy("h1", "h2").agg(F.min(name).alias("name"), F.count("*").alias("uses"), *(F.first(c).alias(c) for c in ("size", "sim", "keys")))
     one.withColumn("lid", F.monotonically_increasing_id()).write.parquet(f"{path}/prints")  # numbered as they are written, once
     prints = spark.read.parquet(f"{path}/prints")
+    release(spark)
     labels = _links(prints, docs, similarity)
     about = ["h1", "h2", "name", "uses"]
     lines = lines.select("id", "doc", "line", "h1", "h2")
