@@ -2,8 +2,9 @@
 
 BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row. Texts are split here
 with array operations by the pattern of the vocabulary; the library encodes the pre-tokens not seen yet,
-and the ids of all others come from a bounded memo. Texts with characters whose class depends on the
-Unicode version are given to the library whole.
+and the ids of all others come from a bounded memo, which knows a pre-token by two hashes and the number of
+its bytes. Texts with characters whose class depends on the Unicode version, or with the string of an added
+token (which the library takes for that token), are given to the library whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-from quantara.llm._text import Block, ragged, span_hashes
+from quantara.llm._text import Block, ragged, span_hashes, span_ids
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -94,7 +95,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [np.frombuffer(t.content.encode(), np.uint8) for t in added.values()]
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # in bytes: one for each character of the byte-level form
         self.lengths[list(vocab.values())] = [*map(len, vocab)]
@@ -102,6 +104,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by key
+        self.checks = np.zeros(0, np.uint64)  # by slot: a second hash
         self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # by slot
         self.ids, self.used = np.zeros(4096, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
@@ -109,10 +112,11 @@ class Encoder:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n - len(array), len(array) // 2), array.dtype)])
 
-    def _learn(self, keys: np.ndarray, data: bytes, low: np.ndarray, high: np.ndarray, joins: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, data: bytes, low: np.ndarray, high: np.ndarray, joins: np.ndarray) -> None:
         """Encode pre-tokens. Those of a blank and letters (``joins``) keep apart in a row, so they are encoded in rows."""
         by = np.argsort(~joins, kind="stable")
-        keys, low, high = keys[by], low[by], high[by]
+        keys, checks, low, high = keys[by], checks[by], low[by], high[by]
+        self.checks = np.concatenate([self.checks, checks])
         n = int(joins.sum())
         words = [data[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
         rows = [b"".join(words[i : min(i + ROW, n)]).decode() for i in range(0, n, ROW)] + [w.decode() for w in words[n:]]
@@ -140,30 +144,51 @@ class Encoder:
         texts = np.searchsorted(at, block.bounds)
         unsure = np.zeros(block.n, bool)
         odd = np.flatnonzero(kinds == UNSURE)
-        if len(odd):
-            unsure[np.searchsorted(texts, odd, "right") - 1] = True
+        unsure[np.searchsorted(texts, odd, "right") - 1] = True
+        unsure[np.searchsorted(block.bounds, self._added_at(block), "right") - 1] = True
         starts = pre_token_starts(points, kinds, texts[:-1])
-        if len(odd):
-            starts = starts[~unsure[np.searchsorted(texts, starts, "right") - 1]]
         of = np.searchsorted(texts, starts, "right") - 1
         ends = np.minimum(np.append(starts[1:], len(points)), texts[of + 1])
+        if unsure.any():
+            sure = ~unsure[of]
+            starts, of, ends = starts[sure], of[sure], ends[sure]
         low, high = at[starts], at[ends]
-        keys, first, back = np.unique(span_hashes(block.data, low, high), return_index=True, return_inverse=True)
+        back, first = span_ids(block.data, low, high)
+        keys = span_hashes(block.data, low[first], high[first])
+        checks = span_hashes(block.data, low[first], high[first], seed=1)
         if len(self.keys) > MEMO:
             self._forget()
         new = np.flatnonzero(~self._known(keys))
         if len(new):
             begin = starts[first[new]]
             joins = (points[begin] == 0x20) & (kinds[np.minimum(begin + 1, len(points) - 1)] == LETTER) & (high - low > 1)[first[new]]
-            self._learn(keys[new], block.data.tobytes(), low[first[new]], high[first[new]], joins)
+            self._learn(keys[new], checks[new], block.data.tobytes(), low[first[new]], high[first[new]], joins)
         slots = self.slots[np.searchsorted(self.keys, keys)]
+        met = self.checks[slots] != checks  # another pre-token has the same first hash
+        if met.any():
+            return self._one_by_one(block)
         counts = self.counts[slots][back]
         ids = self.ids[ragged(self.starts[slots][back], counts)]
         per_text = np.bincount(of, counts, block.n).astype(np.int64)
-        if len(odd):
+        if unsure.any():
             ids, per_text = self._whole(block, unsure, ids, per_text)
         return ids, per_text
 
+    def _added_at(self, block: Block) -> np.ndarray:
+        """Bytes at which the string of an added token starts."""
+        found = []
+        for token in self.added:
+            at = np.flatnonzero(block.data[: max(0, len(block.data) - len(token) + 1)] == token[0])
+            for k in range(1, len(token)):
+                at = at[block.data[at + k] == token[k]] if len(at) else at
+            found.append(at)
+        return np.concatenate([*found, np.zeros(0, np.int64)])
+
+    def _one_by_one(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All texts by the library."""
+        none = np.zeros(0, np.uint32), np.zeros(block.n, np.int64)
+        return self._whole(block, np.ones(block.n, bool), *none)
+
     def _known(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)

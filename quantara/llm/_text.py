@@ -95,13 +95,13 @@ def _at(chunks: np.ndarray, starts: np.ndarray, ends: np.ndarray, k) -> np.ndarr
     return chunks[begin] & _TAIL[np.minimum(ends - begin, 8)]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
 
     Each chunk of eight bytes goes through a mixer that is no polynomial, so texts of a regular build do not collide.
     """
     chunks, length = _chunks(data), ends - starts
-    out = mix(length.astype(U64) + BASE)
+    out = mix(length.astype(U64) + BASE + (U64(seed) << U64(48)))
     live, k = np.flatnonzero((length > 0) & (length <= SHORT)), 0
     while len(live):
         out[live] = mix(out[live] ^ _at(chunks, starts[live], ends[live], k)) * BASE
@@ -109,7 +109,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     for part in _long(length):
         count = -(-length[part] // 8)
         of, number = np.repeat(part, count), ragged(np.zeros(len(part), np.int64), count)
-        mixed = mix(_at(chunks, starts[of], ends[of], number) ^ mix(number.astype(U64) + BASE))
+        mixed = mix(_at(chunks, starts[of], ends[of], number) ^ mix(number.astype(U64) + BASE + (U64(seed) << U64(48))))
         out[part] = mix(out[part] ^ np.add.reduceat(mixed, np.cumsum(count) - count))
     return out
 

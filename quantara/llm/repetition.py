@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quantara.llm._text import NOT_SPACE, Block, blocks, span_hashes, spans
+from quantara.llm._text import NOT_SPACE, Block, blocks, span_ids, spans
 
 #: Repeats shorter than this occur by chance in clean prose.
 MIN_WORDS = 6
@@ -28,6 +28,9 @@ MAX_COVERED = 0.40
 MAX_LONGEST = 0.20
 LONGEST_FREE = 40
 
+#: Up to so many common prefixes are followed one by one, in slices, others side by side.
+FEW = 64
+
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 NOT_BREAK = np.ones(256, bool)
@@ -49,7 +52,7 @@ def suffix_array(symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.
     place = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = place
-    levels, step = [rank.copy()], 1
+    step = 1
     while True:
         # Slots of suffixes that share their rank with another.
         alone = fresh.copy()
@@ -68,22 +71,48 @@ def suffix_array(symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         fresh[slots] = new
         rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
-        levels.append(rank.copy())
         step *= 2
+    return order, _common_prefixes(symbols, last, order, rank)
+
+
+def _common_prefixes(symbols: np.ndarray, last: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """LCP of each suffix in the array with the one before, without any table of ranks.
+
+    From a position to the next one a common prefix shrinks by one at most (Kasai et al.). So only prefixes that do not
+    come from the position before, the irreducible ones (another symbol precedes the two suffixes), are measured, which
+    together take n log n steps at most; the others are their rest.
+    """
+    n = len(symbols)
+    before = np.full(n, -1)
+    before[rank[order[1:]]] = order[:-1]  # slot -> the suffix in the slot before
+    other = before[rank]
+    other = np.where((other >= 0) & (symbols[np.maximum(other, 0)] == symbols), other, -1)
+    back, back_other = np.arange(n) - 1, other - 1
+    reducible = (back >= 0) & (back_other >= 0) & (other >= 0)
+    reducible[reducible] = symbols[back[reducible]] == symbols[back_other[reducible]]
+    at = np.flatnonzero((other >= 0) & ~reducible)
+    length = np.zeros(n, np.int64)
+    live, a, b, end = at, at.copy(), other[at], last[at]
+    while len(live) > FEW:
+        go = (a < end) & (b < end)
+        go[go] = symbols[a[go]] == symbols[b[go]]
+        live, a, b, end = live[go], a[go] + 1, b[go] + 1, end[go]
+        length[live] += 1
+    for i, x, y, e in zip(live.tolist(), a.tolist(), b.tolist(), end.tolist(), strict=True):
+        size = 64
+        while room := min(size, e - x, e - y):
+            unlike = np.flatnonzero(symbols[x : x + room] != symbols[y : y + room])
+            same = int(unlike[0]) if len(unlike) else room
+            length[i] += same
+            x, y, size = x + same, y + same, min(2 * size, 1 << 20)
+            if len(unlike):
+                break
+    # A reducible prefix ends where that of the last irreducible one before it does.
+    source = np.maximum.accumulate(np.where(reducible, -1, np.arange(n)))
+    length = np.where(reducible, length[source] - (np.arange(n) - source), length)
     lcp = np.zeros(n, np.int64)
-    same = np.flatnonzero(symbols[order[1:]] == symbols[order[:-1]]) + 1
-    a, b = order[same - 1].copy(), order[same].copy()
-    length = np.zeros(len(same), np.int64)
-    end = last[a]
-    for k in range(len(levels) - 1, -1, -1):
-        ok = (np.maximum(a, b) < end)
-        equal = np.zeros(len(a), bool)
-        equal[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-        length += np.where(equal, 1 << k, 0)
-        a += np.where(equal, 1 << k, 0)
-        b += np.where(equal, 1 << k, 0)
-    lcp[same] = length
-    return order, lcp
+    lcp[rank] = np.where(other >= 0, length, 0)
+    return lcp
 
 
 def longest_repeats(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -114,7 +143,7 @@ def measure(block: Block, min_words: int = MIN_WORDS, max_covered: float = MAX_C
     points = ((block.data & 0xC0) != 0x80) & NOT_SPACE[block.data]
     n = len(starts)
     owner = np.repeat(np.arange(block.n), n_words)
-    _, ids = np.unique(span_hashes(block.data, starts, ends), return_inverse=True)
+    ids, _ = span_ids(block.data, starts, ends)
     most = longest_repeats(owner * (int(ids.max(initial=0)) + 1) + ids, np.repeat(first[1:], n_words))
     at = np.flatnonzero(most >= 3)
     threes = _covered(at, np.full(len(at), 3), n)
@@ -145,9 +174,9 @@ def _duplicate_lines(block: Block, word_starts: np.ndarray) -> np.ndarray:
     starts, ends = spans(block, NOT_BREAK)
     worded = np.searchsorted(word_starts, starts) < np.searchsorted(word_starts, ends)
     starts, ends = starts[worded], ends[worded]
-    owner, hashes = block.owner(starts), span_hashes(block.data, starts, ends)
-    by = np.lexsort((hashes, owner))
-    again = (hashes[by][1:] == hashes[by][:-1]) & (owner[by][1:] == owner[by][:-1])
+    owner, line = block.owner(starts), span_ids(block.data, starts, ends)[0]
+    by = np.lexsort((line, owner))
+    again = (line[by][1:] == line[by][:-1]) & (owner[by][1:] == owner[by][:-1])
     return np.bincount(owner[by][1:][again], minlength=block.n)
 
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quantara.llm import _bpe
 from quantara.llm._text import blocks
@@ -21,11 +22,14 @@ def encode(texts, most=1 << 20):
     return out
 
 
+LIBRARY = Tokenizer.from_file(PATH)  # untouched, and no part of the encoder
+
+
 def library(texts):
-    return [x.ids for x in _bpe.encoder(PATH).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [x.ids for x in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-TRICKY = ["", None, "it's they'll I'd we've 'tis ''s x'S 's's", "a  b   c \n d\n\n e \t", " lead", "trail  ", "\n's", "x\x85y\xa0z　w​", "12ab34 ½²", "<|endoftext|> a", "日本語 テスト 한국", "🙂 👍🏽 é", "\x1c\x1f a\x00b", "ſ ʼn 'll'", "'", " '", "᠎ x", "a'ſ", "ab'", "'re", "'v", "’s"]
+TRICKY = ["", None, "it's they'll I'd we've 'tis ''s x'S 's's", "a  b   c \n d\n\n e \t", " lead", "trail  ", "\n's", "x\x85y\xa0z　w​", "12ab34 ½²", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "|endoftext|> <|endoftext|", "日本語 テスト 한국", "🙂 👍🏽 é", "\x1c\x1f a\x00b", "ſ ʼn 'll'", "'", " '", "᠎ x", "a'ſ", "ab'", "'re", "'v", "’s"]
 
 
 def test_tricky_texts():
@@ -44,3 +48,21 @@ def test_every_code_point():
     points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}b {c}c {c}{c}1" for c in points]
     assert encode(texts) == library(texts)
+
+
+def test_pre_tokens_that_only_a_polynomial_confuses():
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert encode([a, b, f"{a} {b}"]) == library([a, b, f"{a} {b}"])
+
+
+def test_a_second_hash_tells_pre_tokens_apart(monkeypatch):
+    """With a first hash that knows lengths only, all texts still have the library's ids."""
+    whole = _bpe.span_hashes
+    monkeypatch.setattr(_bpe, "span_hashes", lambda data, starts, ends, seed=0: whole(data, starts, ends, seed) if seed else (ends - starts).astype(np.uint64))
+    encoder = _bpe.Encoder(PATH)
+    for texts in (["cat dog"], ["cow cat hen"]):
+        (block,) = blocks(pa.array(texts))
+        assert encoder.encode(block)[0].tolist() == library(texts)[0]

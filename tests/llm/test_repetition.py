@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -80,3 +81,52 @@ def test_query_over_table(make_docs):
     got = sorted(map(tuple, R.quality(make_docs(rows, extra=True)).select("doc_id", "n_words", "kept").collect()))
     assert got == [(1, 0, False), (2, 0, False), (3, 60, False), (3, 60, False), (4, 1, False)]
     assert R.quality(make_docs([])).count() == 0
+
+
+def test_suffix_arrays_of_small_texts():
+    r = random.Random(2)
+    for _ in range(200):
+        texts = [[r.randrange(r.choice((1, 2, 5))) for _ in range(r.randrange(25))] for _ in range(r.randrange(1, 5))]
+        sizes = [len(x) for x in texts]
+        if not sum(sizes):
+            continue
+        symbols = np.array([i * 10 + c for i, x in enumerate(texts) for c in x])
+        last = np.repeat(np.cumsum(sizes), sizes)
+        order, lcp = R.suffix_array(symbols, last)
+        suffixes = [tuple(symbols[i : last[i]]) for i in order]
+        assert suffixes == sorted(suffixes)
+        for k in range(1, len(order)):
+            common = next((m for m, (a, b) in enumerate(zip(suffixes[k - 1], suffixes[k])) if a != b), min(len(suffixes[k - 1]), len(suffixes[k])))
+            assert lcp[k] == common
+
+
+def test_kept_and_maximal_repeats_against_brute_force():
+    r = random.Random(3)
+    texts = []
+    for _ in range(60):
+        w = [f"w{r.randrange(40)}" for _ in range(r.randrange(1, 160))]
+        for _ in range(r.randrange(3)):
+            i, n = r.randrange(len(w)), r.randrange(60)
+            w[r.randrange(len(w)) : 0] = w[i : i + n]
+        texts.append(" ".join(w))
+    (block,) = blocks(pa.array(texts))
+    got = R.measure(block)
+    for t, text in enumerate(texts):
+        w = text.split()
+        most = [max((next((m for m in range(len(w)) if max(i, j) + m >= len(w) or w[i + m] != w[j + m]), 0) for j in range(len(w)) if j != i), default=0) for i in range(len(w))]
+        starts = [i for i in range(len(w)) if most[i] >= R.MIN_WORDS and (i == 0 or most[i - 1] <= most[i])]
+        covered = len({k for i in starts for k in range(i, i + most[i])})
+        longest = max(most, default=0)
+        threes = len({k for i in range(len(w)) if most[i] >= 3 for k in range(i, i + 3)})
+        failed = len(w) < 50 or 100 * threes > 50 * len(w)
+        kept = not failed and covered <= R.MAX_COVERED * len(w) and longest <= max(R.MAX_LONGEST * len(w), R.LONGEST_FREE)
+        assert (got["n_maximal_repeats"][t], got["covered_words"][t], got["longest_repeat"][t], got["base_failed"][t], got["kept"][t]) == (len(starts), covered, longest, failed, kept)
+
+
+def test_lines_that_only_a_polynomial_confuses():
+    a = "0"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("01", "10"))
+    b = a.translate(str.maketrans("01", "10"))
+    (block,) = blocks(pa.array([f"{a}\n{b}", f"{a}\n{a}"]))
+    assert R.measure(block)["n_dup_lines"].tolist() == [0, 1]
