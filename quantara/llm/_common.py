@@ -46,6 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have whole texts sent to Python in batches of a few MB, whatever their length, so that a worker's memory is bounded
+    by that and the longest text. Smaller settings stay."""
+    for key, most, unit in (("maxBytesPerBatch", 4 << 20, "b"), ("maxRecordsPerBatch", 2000, "")):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, f"{most}{unit}")
+    return spark
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffles and checkpoints that nothing refers to any more: Spark deletes their files once the driver's
     garbage is collected, which may else be long after."""

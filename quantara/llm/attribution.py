@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantara.llm._bpe import code_points, encoder
+from quantara.llm._common import small_batches
 from quantara.llm._text import Block, blocks
 
 RULES = ("most", "first", "split")
@@ -68,6 +69,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *([F.col(sections_col).cast("array<struct<start:long,end:long>>").alias("sections")] if sections_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

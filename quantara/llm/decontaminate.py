@@ -33,15 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantara.llm._common import small_batches
 from quantara.llm._text import U64, Block, blocks, mix, ragged, span_hashes, spans
 
 RATE = 0.2
 LEAST = 5
 WALKS, TABLES, SYMBOLS = 6, 24, 2
-ITEM_WORDS = 500_000
+ITEM_WORDS = 50_000
 SEED = 20_160_501
-#: Windows embedded at a time.
-CHUNK = 1024
+#: Windows embedded at a time, and symbols that these may have (one window at least).
+CHUNK, CHUNK_SYMBOLS = 1024, 1 << 21
 
 WORDY = np.zeros(256, bool)
 WORDY[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -125,8 +126,8 @@ def build(ids: list, texts: list, rate: float = RATE) -> Index:
     # Later steps mostly lie behind the walk's end, where all agree.
     index.places = (rng.random((n, WALKS, TABLES, SYMBOLS)) * (1.5 * lengths)[:, None, None, None]).astype(np.int64)
     index.tables = np.zeros((n, WALKS, TABLES), U64)
-    for a in range(0, n, CHUNK):
-        item = np.arange(a, min(n, a + CHUNK))
+    for a, b in _parts(lengths):
+        item = np.arange(a, b)
         index.tables[item] = _sampled(index, index.words, index.first[item], lengths[item], item)
     return index
 
@@ -142,6 +143,17 @@ def _sampled(index: Index, words: np.ndarray, starts: np.ndarray, lengths: np.nd
     return out
 
 
+def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of parts whose windows, as long as the longest of them, have a bounded number of symbols."""
+    a = 0
+    while a < len(lengths):
+        longest = np.maximum.accumulate(lengths[a : a + CHUNK])
+        fits = longest * np.arange(1, len(longest) + 1) * WALKS * 3 // 2 <= CHUNK_SYMBOLS
+        b = a + max(1, int(fits.argmin()) if not fits.all() else len(fits))
+        yield a, b
+        a = b
+
+
 def edit_distances(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, index: Index, item: np.ndarray) -> np.ndarray:
     """Word edits from each item to words[start : e], for the best e up to ``end``."""
     lengths, edits = index.lengths[item], index.edits[item]
@@ -196,8 +208,8 @@ def search(block: Block, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarr
     which, start = key // n, key % n
     end = first[owner[start] + 1]
     found = []
-    for a in range(0, len(key), CHUNK):
-        w, s, e = which[a : a + CHUNK], start[a : a + CHUNK], end[a : a + CHUNK]
+    for a, b in _parts(index.lengths[which]):
+        w, s, e = which[a:b], start[a:b], end[a:b]
         sampled = _sampled(index, words, s, np.minimum(index.lengths[w], e - s), w)
         near = (sampled == index.tables[w]).any(axis=(1, 2))
         w, s, e = w[near], s[near], e[near]
@@ -232,7 +244,7 @@ def indexes(benchmark: DataFrame, item_col="item_id", text_col="text", rate: flo
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", rate: float = RATE, most: int = ITEM_WORDS) -> DataFrame:
     """One row for each document and item that it holds: id, item_id, edits, item_words, first_word."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string"), id_col)
     schema = f"`{id_col}` {slim.schema[1].dataType.simpleString()}, item_id long, edits long, item_words long, first_word long"
     passes = []
@@ -242,7 +254,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", te
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                for block in blocks(_lowered(batch.column(0)), 1 << 22):
+                for block in blocks(_lowered(batch.column(0)), 1 << 20):
                     text, item, edits, start = search(block, index)
                     ids = batch.column(1).take(pa.array(block.first + text))
                     yield pa.record_batch([ids, *(pa.array(x.astype(np.int64)) for x in (index.ids[item], edits, index.lengths[item], start))], [id_col, "item_id", "edits", "item_words", "first_word"])
@@ -253,7 +265,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item_col="item_id", item_text_col="text", rate: float = RATE, most: int = ITEM_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no item; each row is judged where it is, without a shuffle."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     out = docs
     for index in indexes(benchmark, item_col, item_text_col, rate, most):
         shared = spark.sparkContext.broadcast(index)
@@ -263,7 +275,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col="text",
             import pandas as pd
 
             ok = np.ones(len(texts), bool)
-            for block in blocks(_lowered(pa.array(texts, pa.large_string(), from_pandas=True)), 1 << 22):
+            for block in blocks(_lowered(pa.array(texts, pa.large_string(), from_pandas=True)), 1 << 20):
                 ok[block.first + search(block, shared.value)[0]] = False
             return pd.Series(ok)
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantara.llm._bpe import code_points
+from quantara.llm._common import small_batches
 from quantara.llm._text import U64, Block, blocks, mix
 
 ORDERS = 3
@@ -130,6 +131,7 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "bucket", "n"])
 
+    small_batches(labelled.sparkSession)
     partial = rows.where(chosen).select("text", "lang").mapInArrow(run, "lang string, bucket long, n long")
     totals = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x ORDERS x BUCKETS rows at most
     languages = tuple(sorted({r["lang"] for r in totals}))
@@ -173,7 +175,7 @@ def infer(logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a row of ``docs``: id, the columns ``keep``, lang_pred, score, and the whole mixture as text (``en:0.9 fr:0.1``)."""
     slim = docs.select(F.col(text_col).cast("string"), id_col, *keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x ORDERS x BUCKETS numbers
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # languages x ORDERS x BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -203,7 +205,7 @@ def held_out(doc_id):
 def identified(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is known with a proportion of ``least`` at least; columns as they are."""
     model = fit(docs.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(texts):

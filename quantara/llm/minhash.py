@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantara.llm._common import cut, guarded_broadcast, private
+from quantara.llm._common import cut, guarded_broadcast, private, small_batches
 from quantara.llm._text import U64, Block, blocks, exact_shingles, mix, shingles
 from quantara.llm.components import components
 
@@ -278,6 +278,7 @@ def _linked(row, feature, total, left, right, label, similarity) -> tuple[np.nda
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity=SIMILARITY, width=WIDTH, rows=ROWS, bands=BANDS) -> tuple[DataFrame, DataFrame]:
     """((id, digest) of each row that has an id, (digest, class_id, first) of each text): class_id is the smallest id of
     the class and ``first`` its digest."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     slim = texts.select("id", _digest(F.col("id"), F.col("text")).alias("digest"), "text")
     signed = _sign(slim, rows, bands, width)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quantara.llm._common import small_batches
 from quantara.llm._text import NOT_SPACE, Block, blocks, span_ids, spans
 
 #: Repeats shorter than this occur by chance in clean prose.
@@ -191,5 +192,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **l
                 ids = batch.column(0).slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[x]) for x in names)], [id_col, *names])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(id_col, docs[text_col].cast("string"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, {SCHEMA}")

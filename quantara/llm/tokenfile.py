@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantara.llm._bpe import encoder
+from quantara.llm._common import small_batches
 from quantara.llm._text import blocks
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE = 2048
 BATCH = 64
 #: Rows that the manifest may bring to the driver: one a file.
+#: A file has the tokens of about so many bytes of text at most.
+PART_BYTES = 256 << 20
 FILES = "path string, part int, first_id long, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -73,9 +76,11 @@ class SequenceWriter:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_col="text", length: int = SEQUENCE, parts: int | None = None) -> list:
     """Write the files under ``path`` and return the manifest, one row a file, in order of the ids."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if parts is None:  # more files for more bytes
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     ranged = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +126,14 @@ class TokenFile:
         self.source = pa.memory_map(f"{at}.ids.arrow") if files.type_name == "local" else files.open_input_file(f"{at}.ids.arrow")
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
-        self.rows = BATCH
+        self.rows, self.last = BATCH, (-1, None)
         with files.open_input_file(f"{at}.docs.arrow") as f:
             self.docs = pa.ipc.open_file(f).read_all()
 
     def batch(self, i: int, column: str = "ids") -> np.ndarray:
-        lists = self.reader.get_batch(i).column(column)
-        return lists.flatten().to_numpy(zero_copy_only=column == "ids")
+        if self.last[0] != i:  # documents are asked for in order, so a batch is fetched once
+            self.last = i, self.reader.get_batch(i)
+        return self.last[1].column(column).flatten().to_numpy(zero_copy_only=column == "ids")
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(i % self.rows * self.length, (i % self.rows + 1) * self.length)
