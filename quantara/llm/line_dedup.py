@@ -80,8 +80,8 @@ def _votes(hashes, blocks: int):
     ``hashes`` ascend; longs are signed, so the first block is the one in the middle, which does no harm.
     """
 
-    def first(x, i):
-        return (i == 0) | (_block(x, blocks) != _block(F.get(hashes, i - 1), blocks))
+    def first(x, i):  # the first has none before it
+        return F.coalesce(_block(x.bitwiseXOR(F.get(hashes, i - 1)), blocks) != 0, F.lit(True))
 
     def majority(x, i):
         y, z, w = (F.get(hashes, F.pmod(i + k, F.size(hashes))) for k in (1, 2, 3))
