@@ -199,6 +199,7 @@ def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     for end in "ab":
         two = two.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
     two = cut(two.where(_near(F.col("size_a"), F.col("sim_a"), F.col("size_b"), F.col("sim_b"), similarity)).select("a", "b"))
+    release(docs.sparkSession)
     texts = _texts(members.select("lid").union(two.select("a")).union(two.select("b")), docs, prints.select("lid", "name"), similarity)
     release(docs.sparkSession)
     links = labels = None
@@ -251,6 +252,7 @@ def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> t
     one = lines.groupBy("h1", "h2").agg(F.min(name).alias("name"), F.count("*").alias("uses"), *(F.first(c).alias(c) for c in ("size", "sim", "keys")))
     one.withColumn("lid", F.monotonically_increasing_id()).write.parquet(f"{path}/prints")  # numbered as they are written, once
     prints = spark.read.parquet(f"{path}/prints")
+    del one  # with it goes its shuffle
     release(spark)
     labels = _links(prints, docs, similarity)
     about = ["h1", "h2", "name", "uses"]
