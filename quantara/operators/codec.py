@@ -75,12 +75,12 @@ def packed_width(rows: DataFrame, column: str, chunk: str = "chunk_id") -> DataF
     return out.select(chunk, "n", "low", width.cast("long").alias("width"), (F.col("n") * width).alias("bits"))
 
 
-def check_decoded(rows: DataFrame, count: int, types: dict[str, str] | None = None) -> None:
-    """Refuse a decoded table of another size or other types."""
+def check_decoded(rows: DataFrame, count: int, name: str = "rows", types: dict[str, str] | None = None) -> None:
+    """Refuse a decoded table of another size or other types. Of Parquet, the footers are read only."""
     if types:
         got = dict(rows.dtypes)
         wrong = [f for f, t in types.items() if got.get(f) != t]
         if wrong:
             raise ParticleError(f"decoded {', '.join(f'{f} is {got.get(f)}, not {types[f]}' for f in wrong)}")
     if (n := rows.count()) != count:
-        raise ParticleError(f"decoded {n} rows instead of {count}")
+        raise ParticleError(f"{name}: decoded {n} rows instead of {count}")

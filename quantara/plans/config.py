@@ -82,14 +82,19 @@ def from_mapping(values: dict) -> Settings:
 
 
 def load(path: str) -> dict:
-    """A JSON object, or ``name: value`` lines, of options."""
+    """A JSON object, or ``name: value`` lines, of options; those of a nested section count as well."""
     with open(path) as f:
         text = f.read()
     if text.lstrip().startswith("{"):
-        return json.loads(text)
+        found = json.loads(text)
+        return {k: v for name, value in found.items() for k, v in (value.items() if isinstance(value, dict) else [(name, value)])}
     out = {}
-    for line in text.splitlines():
-        line = line.split("#")[0].strip()
+    lines = [x for line in text.splitlines() if (x := line.split("#")[0].rstrip())]
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    for k, line in enumerate(lines):
+        line = line.strip()
+        if line.endswith(":") and indents[k + 1 : k + 2] > indents[k : k + 1]:
+            continue  # the name of a section
         if line:
             name, _, value = line.partition(":")
             value = value.strip()

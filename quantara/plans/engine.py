@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,6 +186,8 @@ def decompress(spark: SparkSession, directory: str) -> DataFrame:
     n, q = m["count"], {f: codec.Quantizer(**x) for f, x in m["quantizers"].items()}
     pos, vel, scale = package.position_codec(m), package.velocity_codec(m), m["position_scale"]["value"]
 
+    for name in m["components"]:  # a short component would else take rows of the others with it
+        codec.check_decoded(package.read_component(spark, directory, name), n, name)
     rows = package.read_component(spark, directory, "id")
     if pos in TRIPLET_CODECS:
         positions = codec.decode(package.read_component(spark, directory, "positions"), {f: q[f] for f in POSITIONS})
@@ -296,11 +299,17 @@ def roundtrip(df: DataFrame, directory: str, settings: Settings | None = None, *
     return report
 
 
-def batch(spark: SparkSession, directory: str, output: str, command: str = "roundtrip", settings: Settings | None = None, attributes: dict | None = None) -> dict:
-    """A command over the tables of a folder. Each table is one set of distributed jobs; a failed one is
-    recorded, the others go on, and the report is written before the failure is raised."""
-    started, files, failed = time.perf_counter(), [], []
-    for path in discover(spark, directory):
+#: Tables of a batch that are worked on at a time, if no number is given.
+BATCH_WORKERS = 16
+
+
+def batch(spark: SparkSession, directory: str, output: str, command: str = "roundtrip", settings: Settings | None = None, attributes: dict | None = None, workers: int = 0) -> dict:
+    """A command over the tables of a folder, ``workers`` of them at a time (0: up to BATCH_WORKERS). Each table is one
+    set of distributed jobs; one that fails, for whatever reason, is recorded, the others go on, and the report, in
+    order of the names, is written before the failure is raised."""
+    started = time.perf_counter()
+
+    def one_table(path: str) -> dict:
         name = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
         began = time.perf_counter()
         entry = {"file": name, "succeeded": True, "particles": 0, "original_bytes": 0, "compressed_bytes": None, "wall_seconds": 0.0, "error": None, "timings": {}}
@@ -314,10 +323,14 @@ def batch(spark: SparkSession, directory: str, output: str, command: str = "roun
                 if command == "roundtrip":
                     entry |= {"field_groups": report["field_groups"], "quality": {f: {k: x[k] for k in ("max_abs", "mse", "psnr")} for f, x in report["fields"].items() if f != "id"}}
             entry["wall_seconds"] = time.perf_counter() - began
-        except ParticleError as error:
-            entry |= {"succeeded": False, "error": str(error)}
-            failed.append(f"{name}: {error}")
-        files.append(entry)
+        except Exception as error:  # noqa: BLE001 - a damaged file raises what its reader likes
+            entry |= {"succeeded": False, "error": str(error).split("\n")[0] or type(error).__name__}
+        return entry
+
+    paths = list(discover(spark, directory))
+    with ThreadPoolExecutor(max(1, min(workers or BATCH_WORKERS, len(paths)))) as pool:
+        files = list(pool.map(one_table, paths))
+    failed = [f"{e['file']}: {e['error']}" for e in files if not e["succeeded"]]
     schema = "file string, succeeded boolean, particles long, original_bytes long, compressed_bytes long, wall_seconds double, timings map<string,double>"
     table = spark.createDataFrame([tuple(e[k] for k in ("file", "succeeded", "particles", "original_bytes", "compressed_bytes", "wall_seconds", "timings")) for e in files], schema)
     groups = [(g, x["original_bytes"], x["compressed_bytes"]) for e in files if e["succeeded"] for g, x in e.get("field_groups", {}).items()]

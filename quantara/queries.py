@@ -484,11 +484,12 @@ def package_roundtrip(spark, d):
     """A package of the embeddings' triplets is written, read back, and each row held against its bounds."""
     import uuid
 
+    from quantara.lineage import cut, shared_dir
     from quantara.plans import engine
     from quantara.plans.config import Settings
+    from quantara.sources import package
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/package-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/package-{uuid.uuid4().hex}"
     p = engine.prepare(pv32(spark, d), Settings(pos_codec="sorted", vel_codec="sorted", vel_chunk_size=CHUNK), row_id="row_id")
     engine.compress(p, path)
     bounds = p.targets()
@@ -497,7 +498,9 @@ def package_roundtrip(spark, d):
     ok = within[0]
     for w in within[1:]:
         ok = ok & w
-    return pairs.where(ok).select(F.col("r_id").alias("id"))
+    out = cut(pairs.where(ok).select(F.col("r_id").alias("id")))
+    package.remove(spark, path)
+    return out
 
 
 def queries() -> dict[str, Query]:

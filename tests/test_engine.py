@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantara.__main__ import main
 from quantara.fields import LOGICAL, POSITIONS, VELOCITIES, ParticleError, check_codec_pair
-from quantara.operators import align, chunk, order, rollup
+from quantara.operators import align, chunk, codec, order, rollup
 from quantara.plans import config, engine, report
 from quantara.plans.config import Settings
 from quantara.sources import package
@@ -109,6 +109,28 @@ def test_damaged_package(spark, table, tmp_path):
         engine.decompress(spark, str(tmp_path / "none"))
 
 
+def test_a_short_component_is_refused(spark, table, tmp_path):
+    engine.compress(engine.prepare(table, Settings(pos_codec="linear", vel_codec="linear"), row_id="place"), str(tmp_path / "p"))
+    path = package.component_path(str(tmp_path / "p"), "vx")
+    rows = spark.read.parquet(path).where("rank <> 70").cache()
+    rows.count()
+    rows.write.mode("overwrite").parquet(path)
+    with pytest.raises(ParticleError, match="vx: decoded"):
+        engine.decompress(spark, str(tmp_path / "p"))
+    with pytest.raises(ParticleError, match="is bigint, not double"):
+        codec.check_decoded(spark.range(3), 3, types={"id": "double"})
+
+
+def test_a_damaged_file_does_not_end_a_batch(spark, table, tmp_path):
+    table.drop("place").coalesce(1).write.parquet(str(tmp_path / "in" / "b.parquet"))
+    (tmp_path / "in" / "a.parquet").write_text("no table")
+    for workers in (0, 1):
+        with pytest.raises(ParticleError, match="a: "):
+            engine.batch(spark, str(tmp_path / "in"), str(tmp_path / f"out{workers}"), "compress", workers=workers)
+        kept = json.loads((tmp_path / f"out{workers}" / "batch_metrics.json").read_text())
+        assert [(f["file"], f["succeeded"]) for f in kept["files"]] == [("a", False), ("b", True)] and kept["files"][0]["error"]
+
+
 def test_batch(spark, table, tmp_path):
     for name in ("b", "a"):
         table.drop("place").coalesce(1).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
@@ -190,6 +212,10 @@ def test_options(tmp_path):
     (tmp_path / "c.yaml").write_text("rel_eb: 1e-3\npos_codec: lattice  # comment\nvel_codec: 'delta'\n")
     got = config.from_mapping(config.load(str(tmp_path / "c.yaml")))
     assert (got.rel_eb, got.pos_codec, got.vel_codec) == (1e-3, "lattice", "delta")
+    (tmp_path / "n.yaml").write_text("# options\nadvanced:\n  rel_eb: 1e-2\n\n  vel_abs_eb: null\n")
+    assert config.from_mapping(config.load(str(tmp_path / "n.yaml"))).rel_eb == 1e-2
+    (tmp_path / "n.json").write_text('{"advanced": {"rel_eb": 0.5}}')
+    assert config.from_mapping(config.load(str(tmp_path / "n.json"))).rel_eb == 0.5
     (tmp_path / "c.json").write_text('{"vel_rel_eb": "1e-4"}')
     assert config.from_mapping(config.load(str(tmp_path / "c.json"))).vel_rel_eb == 1e-4
     assert not Settings(sort=True).sort_by_id and Settings(sort=True, pos_codec="linear").sort_by_id
