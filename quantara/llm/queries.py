@@ -44,6 +44,11 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5: all but the CRC-32 of the texts."""
+    return op5_histogram_sort(spark, sf_dir).drop("text_crc32", "grown_shard")
+
+
 def op6_arrow_fixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -75,7 +80,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bagminhash, op2_suffix_array_repetition, op3_rare_token_index, op4_offset_mapped_tokens, op5_histogram_sort, op6_arrow_fixed_lists, op7_mixture_inference, op8_hash_threshold_mix,
-        op9_cgk_decontamination, op10_fuzzy_lines,
+        op9_cgk_decontamination, op10_fuzzy_lines, shards_by_bytes,
     )}
 
 
@@ -113,4 +118,4 @@ from d join c on d.source is not distinct from c.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_hash_threshold_mix": OP8_SQL}
+    return {"op8_hash_threshold_mix": OP8_SQL, "shards_by_bytes": OP5_SQL}

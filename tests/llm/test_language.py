@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,3 +69,49 @@ def test_stage_keeps_clean_documents(make_docs, rows):
     out = L.identified(docs)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == {i for i, _, _ in rows} | {902}
+
+
+def plain_infer(logs, counts):
+    """The penalised mixture by lists and loops: from all languages on, the least one goes while that is worth it."""
+    cost, total = 0.5 * L.PENALTY * math.log(sum(counts) + 1), sum(counts)
+
+    def em(chosen, share):
+        def mixed(k):
+            return sum(s * math.exp(logs[c][k] - top[k]) for s, c in zip(share, chosen))
+
+        for _ in range(L.ROUNDS):
+            new = [s / total * sum(n * math.exp(logs[c][k] - top[k]) / mixed(k) for k, n in enumerate(counts)) for s, c in zip(share, chosen)]
+            moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if moved < L.TOLERANCE:
+                break
+        return share, sum(n * math.log(mixed(k)) for k, n in enumerate(counts))
+
+    top = [max(column) for column in zip(*logs)]
+    chosen = list(range(len(logs)))
+    share, fit = em(chosen, [1 / len(logs)] * len(logs))
+    while len(chosen) > 1:
+        least = max(i for i, s in enumerate(share) if s == min(share))
+        rest, left = [c for i, c in enumerate(chosen) if i != least], [s for i, s in enumerate(share) if i != least]
+        fewer, fewer_fit = em(rest, [s / sum(left) for s in left])
+        if fewer_fit < fit - cost:
+            break
+        chosen, share, fit = rest, fewer, fewer_fit
+    return {c: s / sum(share) for c, s in zip(chosen, share)}
+
+
+def test_mixtures_against_loops_and_all_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        tables = rng.dirichlet([0.3] * 12, size=3) + 1e-4
+        logs = np.log(tables / tables.sum(axis=1, keepdims=True))
+        true = rng.dirichlet([0.5] * 3)
+        counts = rng.multinomial(int(rng.integers(5, 400)), true @ np.exp(logs))
+        used = np.flatnonzero(counts)
+        got, want = L.infer(logs[:, used], counts[used]), plain_infer(logs[:, used].tolist(), counts[used].tolist())
+        assert {k for k in range(3) if got[k] > 0} == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        # No set of languages, mixed in steps of a twentieth, has a likelihood that beats the one found by more than its penalty.
+        cost = 0.5 * L.PENALTY * math.log(counts.sum() + 1)
+        value = lambda share: counts @ np.log(share @ np.exp(logs)) - cost * (share > 0).sum()
+        grid = [np.array([a, b, 20 - a - b]) / 20 for a in range(21) for b in range(21 - a)]
+        assert value(got) >= max(map(value, grid)) - cost
