@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it is measured to take no more bytes than this.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +60,16 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffles and checkpoints that nothing refers to any more: Spark deletes their files once the driver's
-    garbage is collected, which may else be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
+    garbage is collected, which may else be long after. What a first collection frees may hold others."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)  # files are deleted by another thread
 
 
 def _row_bytes(df: DataFrame):
     """About the bytes that a row takes in a hashed table, as a column; None for columns of no known size."""
-    total = F.lit(32).cast("long")
+    total = F.lit(16).cast("long")
     for field in df.schema:
         kind, c = field.dataType, F.col(f"`{field.name}`")
         if isinstance(kind, (T.StringType, T.BinaryType)):
@@ -80,12 +83,15 @@ def _row_bytes(df: DataFrame):
     return total
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (a materialised table) is measured to fit a broadcast."""
+    row = _row_bytes(df)
+    return row is not None and (df.agg(F.sum(row)).first()[0] or 0) <= limit
+
+
 def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if ``df`` (a materialised table) is measured to be small; otherwise leave the join to shuffle."""
-    row = _row_bytes(df)
-    if row is None or (df.agg(F.sum(row)).first()[0] or 0) > limit:
-        return df
-    return F.broadcast(df)
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

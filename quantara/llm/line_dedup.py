@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantara.llm._common import cut, delete_path, guarded_broadcast, private, release, scratch_path
+from quantara.llm._common import cut, delete_path, guarded_broadcast, is_small, private, release, scratch_path
 from quantara.llm.components import components
 
 SIMILARITY = 0.9
@@ -144,6 +144,10 @@ def _texts(lids: DataFrame, docs: DataFrame, names: DataFrame, similarity: float
     """
     wanted = names.join(guarded_broadcast(cut(lids.distinct())), "lid")
     wanted = wanted.groupBy("name.id", "name.doc").agg(F.collect_list(F.struct("lid", "name.line")).alias("wanted"))
+    wanted = cut(wanted)
+    ids = cut(wanted.select("id").distinct())
+    if is_small(ids):  # else the join below alone drops the other documents
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
     texts = docs.withColumn("doc", _document(F.col("text"))).join(wanted, ["id", "doc"])
     texts = texts.select(F.split("text", "\n", -1).alias("lines"), "wanted").select("lines", F.explode("wanted").alias("w"))
     texts = texts.select("w.lid", _words(F.get("lines", F.col("w.line"))).alias("words")).withColumn("norm", F.array_join("words", " "))
