@@ -13,7 +13,8 @@ words voting on all bits, a tenth of the words changed moves ten bits of 64 anyw
 Lines that agree in a block are candidates. In each bucket the members are held against one of them, in rounds with
 another one each; those that remain apart are held against the members of other groups. Candidates within DISTANCE of
 the 64 bits that the blocks give up for a short fingerprint are verified by edit similarity of the normalised lines:
-by edits of words, and where a line is short (below 72 characters), by edits of characters. per connected group stays, the first. The recall is below 1 and stated in the README by length.
+by edits of words, and where a line is short (below 72 characters), by edits of characters. One line per connected
+group stays, the first. The recall is below 1 and stated in the README by length.
 
 Defined results: null texts stay null and have no lines; lines without letters always stay; rows that share an id and
 a text are one document, so that equal line numbers stay or go together, and rows that share an id alone are not; rows
@@ -33,6 +34,10 @@ SIMILARITY = 0.9
 DISTANCE = 13
 #: Lines below so many characters are made of runs of RUN characters, others of words.
 SHORT, RUN = 80, 3
+#: Lines below LEAST characters are compared by the parities of their pairs of characters instead of a short fingerprint:
+#: an edit turns four of these at most, and such a line has three edits at most, so none is lost. Those below TINY have
+#: keys of pairs, too, for their runs of three are too few to stay whole.
+LEAST, TINY = 40, 22
 #: Letters of a word that votes, if the line has any.
 LETTERS = 4
 #: Blocks of short and of other lines (powers of two, 64 at most).
@@ -114,27 +119,48 @@ def _is_long(size, similarity: float):
     return size >= similarity * SHORT
 
 
+def _parities(hashes):
+    """64 bits: whether an odd number of the hashes falls to each."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+
+def _runs(norm, size, length: int):
+    return F.transform(F.sequence(F.lit(1), F.greatest(size - (length - 1), F.lit(1))), lambda i: F.xxhash64(F.substr(norm, i, F.lit(length))))
+
+
 def _fingerprints(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``lines`` with h1, h2, size, sim, keys instead of (norm, words); lines too short for any edit have no keys."""
+    """``lines`` with h1, h2, size, sim, also, keys instead of (norm, words); lines too short for any edit have no keys.
+    ``also`` is the ``sim`` by which a line is compared with a shorter one whose ``sim`` is of another kind."""
     about = [c for c in lines.columns if c not in ("norm", "words")]
     voting = F.filter("words", lambda w: F.octet_length(w) >= LETTERS)
     sized = lines.select(*about, *_digest(F.col("norm")), F.length("norm").alias("size"), "norm", "words", voting.alias("long_words"))
     size, none = F.col("size"), F.array().cast("array<bigint>")
-    able = (1 - similarity) / similarity * size + 1e-9 >= 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (RUN - 1), F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(RUN))))
+    able, long = (1 - similarity) / similarity * size + 1e-9 >= 1, _is_long(size, similarity)
     words = F.transform(F.when(F.size("long_words") > 0, F.col("long_words")).otherwise(F.col("words")), lambda w: F.xxhash64(w))
     ordered = lambda use, x: F.when(use, F.sort_array(F.array_distinct(x))).otherwise(none)
-    long = _is_long(size, similarity)
-    hashed = sized.select(*about, "h1", "h2", "size", ordered(able & (size < SHORT), runs).alias("runs"), ordered(able & long, words).alias("word_hashes"))
-    voted = hashed.select(*about, "h1", "h2", "size", _votes(F.col("runs"), BLOCKS[0]).alias("short"), _votes(F.col("word_hashes"), BLOCKS[1]).alias("long"))
-    sim = F.when(long, _sketch(F.col("long"), BLOCKS[1])).otherwise(_sketch(F.col("short"), BLOCKS[0]))
-    return voted.select(*about, "h1", "h2", "size", sim.alias("sim"), F.concat(_keys(F.col("short"), 0), _keys(F.col("long"), 1)).alias("keys"))
+    pairs = F.when(able & (size * similarity < LEAST), _runs("norm", size, 2)).otherwise(none)
+    hashed = sized.select(*about, "h1", "h2", "size", ordered(able & (size < SHORT), _runs("norm", size, RUN)).alias("runs"), ordered(able & long, words).alias("word_hashes"), pairs.alias("pairs"))
+    hashed = hashed.withColumn("few", ordered(size < TINY, F.col("pairs")))
+    sides = {"runs": BLOCKS[0], "word_hashes": BLOCKS[1], "few": BLOCKS[0]}
+    voted = hashed.select(*about, "h1", "h2", "size", _parities(F.col("pairs")).alias("parities"), *(_votes(F.col(c), n).alias(c) for c, n in sides.items()))
+    parities, by_runs, by_words = F.col("parities"), _sketch(F.col("runs"), BLOCKS[0]), _sketch(F.col("word_hashes"), BLOCKS[1])
+    sim = F.when(size < LEAST, parities).when(long, by_words).otherwise(by_runs)
+    also = F.when(size < LEAST, F.lit(0).cast("long")).when(size * similarity < LEAST, parities).when(long & (size < SHORT), by_runs).otherwise(0)
+    return voted.select(*about, "h1", "h2", "size", sim.alias("sim"), also.alias("also"), F.concat(*(_keys(F.col(c), kind) for kind, c in enumerate(sides))).alias("keys"))
+
+
+#: By what it is decided whether lines may be alike.
+SIDE = ("size", "sim", "also")
 
 
-def _near(size_a, sim_a, size_b, sim_b, similarity: float):
-    """Whether lines may be alike, by their lengths and short fingerprints (which compare within a kind)."""
-    sizes = F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)
-    return sizes & ((_is_long(size_a, similarity) != _is_long(size_b, similarity)) | (F.bit_count(sim_a.bitwiseXOR(sim_b)) <= DISTANCE))
+def _near(a: str, b: str, similarity: float):
+    """Whether lines may be alike, by their lengths and short fingerprints (of the shorter line's kind). ``a``, ``b``:
+    forms of the names of the columns SIDE."""
+    (size_a, sim_a, also_a), (size_b, sim_b, also_b) = ([F.col(f.format(c)) for c in SIDE] for f in (a, b))
+    kind = lambda size: F.when(size < LEAST, 0).when(_is_long(size, similarity), 2).otherwise(1)
+    shorter = kind(F.least(size_a, size_b))
+    print_a, print_b = (F.when(kind(size) == shorter, sim).otherwise(also) for size, sim, also in ((size_a, sim_a, also_a), (size_b, sim_b, also_b)))
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (F.bit_count(print_a.bitwiseXOR(print_b)) <= DISTANCE)
 
 
 def _texts(lids: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
@@ -194,29 +220,29 @@ def _labelled(df: DataFrame, labels: DataFrame | None, lid: str, to: str) -> Dat
 
 def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
     """(id, label) of the lines (lid) that verified links tie to others; None without links."""
-    brief = prints.select("lid", "size", "sim")
+    brief = prints.select("lid", *SIDE)
     keys = prints.select("lid", F.explode("keys").alias("key"))
     heads = cut(keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1"))
     crowded = guarded_broadcast(heads.where("members > 2").select("key"))
     members = cut(keys.join(crowded, "key").join(brief, "lid"))
     two = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).distinct()
     for end in "ab":
-        two = two.join(brief.select(F.col("lid").alias(end), F.col("size").alias(f"size_{end}"), F.col("sim").alias(f"sim_{end}")), end)
-    two = cut(two.where(_near(F.col("size_a"), F.col("sim_a"), F.col("size_b"), F.col("sim_b"), similarity)).select("a", "b"))
+        two = two.join(brief.select(F.col("lid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in SIDE)), end)
+    two = cut(two.where(_near("{}_a", "{}_b", similarity)).select("a", "b"))
     release(docs.sparkSession)
     texts = _texts(members.select("lid").union(two.select("a")).union(two.select("b")), docs, prints.select("lid", "name"), similarity)
     release(docs.sparkSession)
     links = labels = None
     for turn in range(ROUNDS + 1):
         # Members of buckets that are more than one group yet; a head for each of these.
-        rows = cut(_labelled(members.select("key", "lid", "size", "sim"), labels, "lid", "label"))
+        rows = cut(_labelled(members.select("key", "lid", *SIDE), labels, "lid", "label"))
         several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("lid", F.xxhash64("lid", F.lit(turn))).alias("head"))
         several = guarded_broadcast(cut(several.where("low <> high").select("key", "head")))
         members = cut(rows.join(several, "key"))
         if turn < ROUNDS:
-            head = members.where("lid = head").select("key", *(F.col(c).alias(f"h_{c}") for c in ("size", "sim", "label")))
+            head = members.where("lid = head").select("key", *(F.col(c).alias(f"h_{c}") for c in (*SIDE, "label")))
             star = members.where("lid <> head").join(guarded_broadcast(head), "key")
-            star = star.where((F.col("label") != F.col("h_label")) & _near(F.col("size"), F.col("sim"), F.col("h_size"), F.col("h_sim"), similarity))
+            star = star.where((F.col("label") != F.col("h_label")) & _near("{}", "h_{}", similarity))
             found = star.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b"))
         else:
             found = _remaining(members.drop("head"), similarity)
@@ -232,15 +258,15 @@ def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
 
 
 def _remaining(members: DataFrame, similarity: float) -> DataFrame:
-    """Near pairs (a, b) of members (key, lid, size, sim, label) of a bucket that have different labels; the largest
+    """Near pairs (a, b) of members (key, lid, size, sim, also, label) of a bucket that have different labels; the largest
     group of a bucket is met by the others and not by itself."""
     groups = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     hub = groups.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("hub"))
     hub = guarded_broadcast(cut(hub))
     rows = cut(members.join(hub, "key"))
-    out = rows.where("label <> hub").select("key", *(F.col(c).alias(f"o_{c}") for c in ("lid", "size", "sim", "label")))
+    out = rows.where("label <> hub").select("key", *(F.col(c).alias(f"o_{c}") for c in ("lid", *SIDE, "label")))
     once = (F.col("label") == F.col("hub")) | (F.col("o_lid") < F.col("lid"))
-    near = _near(F.col("size"), F.col("sim"), F.col("o_size"), F.col("o_sim"), similarity)
+    near = _near("{}", "o_{}", similarity)
     # The join itself drops what is not near.
     pairs = out.alias("o").join(rows.alias("r"), (F.col("o.key") == F.col("r.key")) & (F.col("label") != F.col("o_label")) & once & near)
     return pairs.select(F.least("o_lid", "lid").alias("a"), F.greatest("o_lid", "lid").alias("b"))
@@ -253,7 +279,7 @@ def line_groups(docs: DataFrame, path: str, similarity: float = SIMILARITY) -> t
     _fingerprints(_lines(docs), similarity).write.parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines").where("size > 0")
     name = F.struct("id", "doc", "line").alias("name")
-    one = lines.groupBy("h1", "h2").agg(F.min(name).alias("name"), F.count("*").alias("uses"), *(F.first(c).alias(c) for c in ("size", "sim", "keys")))
+    one = lines.groupBy("h1", "h2").agg(F.min(name).alias("name"), F.count("*").alias("uses"), *(F.first(c).alias(c) for c in (*SIDE, "keys")))
     one.withColumn("lid", F.monotonically_increasing_id()).write.parquet(f"{path}/prints")  # numbered as they are written, once
     prints = spark.read.parquet(f"{path}/prints")
     del one  # with it goes its shuffle
