@@ -12,7 +12,7 @@ words voting on all bits, a tenth of the words changed moves ten bits of 64 anyw
 
 Lines that agree in a block are candidates. In each bucket the members are held against one of them, in rounds with
 another one each; those that remain apart are held against the members of other groups. Candidates within DISTANCE of
-the 64 bits that the blocks give up for a short fingerprint are verified by edit similarity of the normalised lines:
+64 bits (a short fingerprint that the blocks give up, parities of character pairs in the shortest) are verified by edit similarity of the normalised lines:
 by edits of words, and where a line is short (below 72 characters), by edits of characters. One line per connected
 group stays, the first. The recall is below 1 and stated in the README by length.
 
@@ -35,8 +35,9 @@ DISTANCE = 13
 #: Lines below so many characters are made of runs of RUN characters, others of words.
 SHORT, RUN = 80, 3
 #: Lines below LEAST characters are compared by the parities of their pairs of characters instead of a short fingerprint:
-#: an edit turns four of these at most, and such a line has three edits at most, so none is lost. Those below TINY have
-#: keys of pairs, too, for their runs of three are too few to stay whole.
+#: an edit turns four of these at most, and two such lines differ by three edits at most, so none of their pairs is lost
+#: (one with a line of LEAST or more may have four). Those below TINY have keys of pairs, too, for their runs of three are
+#: too few to stay whole.
 LEAST, TINY = 40, 22
 #: Letters of a word that votes, if the line has any.
 LETTERS = 4
