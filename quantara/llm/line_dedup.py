@@ -10,8 +10,9 @@ disturbs the blocks next to it and leaves the others whole, lines of any length
 pigeonhole principle holds for blocks: lines that differ in fewer blocks than there are agree in a block. (With all
 words voting on all bits, a tenth of the words changed moves ten bits of 64 anywhere, and hardly a block is whole.)
 
-Lines that agree in a block are candidates. In each bucket the members are held against one of them, in rounds with
-another one each; those that remain apart are held against the members of other groups. Candidates within DISTANCE of
+Lines that agree in a block are candidates. In each bucket the members are held against the one that shares most
+buckets; those that remain apart are held against the members of other groups, in large buckets those that share one of
+their rarest words, which loses no pair. Candidates within DISTANCE of
 64 bits (a short fingerprint that the blocks give up, parities of character pairs in the shortest) are verified by edit similarity of the normalised lines:
 by edits of words, and where a line is short (below 72 characters), by edits of characters. One line per connected
 group stays, the first. The recall is below 1 and stated in the README by length.
@@ -23,6 +24,9 @@ without an id stay as they are; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +43,17 @@ SHORT, RUN = 80, 3
 #: (one with a line of LEAST or more may have four). Those below TINY have keys of pairs, too, for their runs of three are
 #: too few to stay whole.
 LEAST, TINY = 40, 22
+#: Kinds of characters that are counted in lines below SHORT (60 bits, so that no sum reaches the sign).
+KINDS = 15
 #: Letters of a word that votes, if the line has any.
 LETTERS = 4
 #: Blocks of short and of other lines (powers of two, 64 at most).
 BLOCKS = (16, 8)
-#: Rounds of stars, each with a head of its own, before what is left is held against each other.
-ROUNDS = 2
+#: In buckets of so many members that the star leaves apart, each is held against each; in larger ones, lines of words are
+#: if they share one of their rarest words.
+CROWD = 32
+#: Such lines have so many times 64 parities of words (a power of two).
+ODD = 4
 
 
 def _words(line):
@@ -125,6 +134,23 @@ def _parities(hashes):
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
+def _bag(norm):
+    """How often characters of each of KINDS kinds occur, 15 times at most, in four bits each."""
+
+    def add(counts, c):
+        at = (F.ascii(c) % KINDS) * 4
+        now = F.call_function("shiftrightunsigned", counts, at).bitwiseAND(F.lit(15).cast("long"))
+        return F.when(now < 15, counts + F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(counts)
+
+    return F.aggregate(F.split(norm, ""), F.lit(0).cast("long"), add)
+
+
+def _bags_apart(a, b):
+    """The sum of the differences of two bags; an edit of a character adds two at most."""
+    kind = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+    return functools.reduce(operator.add, (F.abs(kind(a, i) - kind(b, i)) for i in range(KINDS)))
+
+
 def _runs(norm, size, length: int):
     return F.transform(F.sequence(F.lit(1), F.greatest(size - (length - 1), F.lit(1))), lambda i: F.xxhash64(F.substr(norm, i, F.lit(length))))
 
@@ -140,28 +166,30 @@ def _fingerprints(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     words = F.transform(F.when(F.size("long_words") > 0, F.col("long_words")).otherwise(F.col("words")), lambda w: F.xxhash64(w))
     ordered = lambda use, x: F.when(use, F.sort_array(F.array_distinct(x))).otherwise(none)
     pairs = F.when(able & (size * similarity < LEAST), _runs("norm", size, 2)).otherwise(none)
-    hashed = sized.select(*about, "h1", "h2", "size", ordered(able & (size < SHORT), _runs("norm", size, RUN)).alias("runs"), ordered(able & long, words).alias("word_hashes"), pairs.alias("pairs"))
+    hashed = sized.select(*about, "h1", "h2", "size", ordered(able & (size < SHORT), _runs("norm", size, RUN)).alias("runs"), ordered(able & long, words).alias("word_hashes"), pairs.alias("pairs"), F.when(able & (size < SHORT), _bag(F.col("norm"))).otherwise(0).alias("bag"))
     hashed = hashed.withColumn("few", ordered(size < TINY, F.col("pairs")))
     sides = {"runs": BLOCKS[0], "word_hashes": BLOCKS[1], "few": BLOCKS[0]}
-    voted = hashed.select(*about, "h1", "h2", "size", _parities(F.col("pairs")).alias("parities"), *(_votes(F.col(c), n).alias(c) for c, n in sides.items()))
+    voted = hashed.select(*about, "h1", "h2", "size", "bag", _parities(F.col("pairs")).alias("parities"), *(_votes(F.col(c), n).alias(c) for c, n in sides.items()))
     parities, by_runs, by_words = F.col("parities"), _sketch(F.col("runs"), BLOCKS[0]), _sketch(F.col("word_hashes"), BLOCKS[1])
     sim = F.when(size < LEAST, parities).when(long, by_words).otherwise(by_runs)
     also = F.when(size < LEAST, F.lit(0).cast("long")).when(size * similarity < LEAST, parities).when(long & (size < SHORT), by_runs).otherwise(0)
-    return voted.select(*about, "h1", "h2", "size", sim.alias("sim"), also.alias("also"), F.concat(*(_keys(F.col(c), kind) for kind, c in enumerate(sides))).alias("keys"))
+    return voted.select(*about, "h1", "h2", "size", sim.alias("sim"), also.alias("also"), "bag", F.concat(*(_keys(F.col(c), kind) for kind, c in enumerate(sides))).alias("keys"))
 
 
 #: By what it is decided whether lines may be alike.
-SIDE = ("size", "sim", "also")
+SIDE = ("size", "sim", "also", "bag")
 
 
 def _near(a: str, b: str, similarity: float):
-    """Whether lines may be alike, by their lengths and short fingerprints (of the shorter line's kind). ``a``, ``b``:
-    forms of the names of the columns SIDE."""
-    (size_a, sim_a, also_a), (size_b, sim_b, also_b) = ([F.col(f.format(c)) for c in SIDE] for f in (a, b))
+    """Whether lines may be alike, by their lengths and short fingerprints (of the shorter line's kind), and where edits
+    of characters count, by their bags, which lose no pair. ``a``, ``b``: forms of the names of the columns SIDE."""
+    (size_a, sim_a, also_a, bag_a), (size_b, sim_b, also_b, bag_b) = ([F.col(f.format(c)) for c in SIDE] for f in (a, b))
     kind = lambda size: F.when(size < LEAST, 0).when(_is_long(size, similarity), 2).otherwise(1)
     shorter = kind(F.least(size_a, size_b))
     print_a, print_b = (F.when(kind(size) == shorter, sim).otherwise(also) for size, sim, also in ((size_a, sim_a, also_a), (size_b, sim_b, also_b)))
-    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (F.bit_count(print_a.bitwiseXOR(print_b)) <= DISTANCE)
+    near = (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (F.bit_count(print_a.bitwiseXOR(print_b)) <= DISTANCE)
+    most = F.floor((1 - similarity) * F.greatest(size_a, size_b) + 1e-9)
+    return near & ((shorter == 2) | (_bags_apart(bag_a, bag_b) + F.abs(size_a - size_b) <= 2 * most))
 
 
 def _texts(lids: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
@@ -224,8 +252,11 @@ def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     brief = prints.select("lid", *SIDE)
     keys = prints.select("lid", F.explode("keys").alias("key"))
     heads = cut(keys.groupBy("key").agg(F.min("lid").alias("head"), F.max("lid").alias("last"), F.count("*").alias("members")).where("members > 1"))
-    crowded = guarded_broadcast(heads.where("members > 2").select("key"))
-    members = cut(keys.join(crowded, "key").join(brief, "lid"))
+    crowded = guarded_broadcast(heads.where("members > 2").select("key", "members"))
+    # A line's score: the members of its buckets. Of a group of near copies, the one that the others are copies of is in
+    # all large buckets, and most of the others are near it, if not near each other.
+    members = keys.join(crowded, "key").groupBy("lid").agg(F.collect_list("key").alias("keys"), F.sum("members").alias("score"))
+    members = cut(members.join(brief, "lid").select("lid", *SIDE, "score", F.explode("keys").alias("key")))
     two = heads.where("members = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).distinct()
     for end in "ab":
         two = two.join(brief.select(F.col("lid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in SIDE)), end)
@@ -233,43 +264,74 @@ def _links(prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame |
     release(docs.sparkSession)
     texts = _texts(members.select("lid").union(two.select("a")).union(two.select("b")), docs, prints.select("lid", "name"), similarity)
     release(docs.sparkSession)
-    links = labels = None
-    for turn in range(ROUNDS + 1):
-        # Members of buckets that are more than one group yet; a head for each of these.
-        rows = cut(_labelled(members.select("key", "lid", *SIDE), labels, "lid", "label"))
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("lid", F.xxhash64("lid", F.lit(turn))).alias("head"))
-        several = guarded_broadcast(cut(several.where("low <> high").select("key", "head")))
-        members = cut(rows.join(several, "key"))
-        if turn < ROUNDS:
-            head = members.where("lid = head").select("key", *(F.col(c).alias(f"h_{c}") for c in (*SIDE, "label")))
-            star = members.where("lid <> head").join(guarded_broadcast(head), "key")
-            star = star.where((F.col("label") != F.col("h_label")) & _near("{}", "h_{}", similarity))
-            found = star.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b"))
-        else:
-            found = _remaining(members.drop("head"), similarity)
-        found = cut((found if turn else found.union(two)).distinct())
-        if found.isEmpty():
-            continue
-        new = cut(_verified(found, texts, similarity))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
-        release(docs.sparkSession)
-    return labels
-
-
-def _remaining(members: DataFrame, similarity: float) -> DataFrame:
-    """Near pairs (a, b) of members (key, lid, size, sim, also, label) of a bucket that have different labels; the largest
-    group of a bucket is met by the others and not by itself."""
-    groups = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    hub = groups.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("hub"))
+    head = F.max_by("lid", F.struct("score", F.xxhash64("lid")))
+    heads = guarded_broadcast(cut(members.groupBy("key").agg(head.alias("head"))))
+    members = cut(members.drop("score").join(heads, "key"))
+    head = members.where("lid = head").select("key", *(F.col(c).alias(f"h_{c}") for c in SIDE))
+    star = members.where("lid <> head").join(guarded_broadcast(cut(head)), "key").where(_near("{}", "h_{}", similarity))
+    found = star.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b"))
+    links = _verified(cut(found.union(two).distinct()), texts, similarity)
+    links = cut(links)
+    labels = None if links.isEmpty() else components(links)
+    release(docs.sparkSession)
+    # Members of buckets that are more than one group yet.
+    rows = cut(_labelled(members.drop("head"), labels, "lid", "label"))
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    several = guarded_broadcast(cut(several.where("low <> high").select("key", "n")))
+    new = cut(_verified(_remaining(cut(rows.join(several, "key")), texts, similarity), texts, similarity))
+    if new.isEmpty():
+        return labels
+    return components(new if labels is None else labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(new))
+
+
+def _remaining(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Near pairs (a, b) of members (key, lid, size, sim, also, bag, label, n) of a bucket, n being its members, that have
+    different labels.
+
+    A passage that is in many lines makes a bucket of n lines which are not alike, and n * n pairs. So lines of words in
+    large buckets are met by their rarest words, none of which is of the passage; no pair within the limit is lost.
+    """
+    long = lambda size: _is_long(size, similarity)
+    small = members.where((F.col("n") <= CROWD) | (F.col("size") < SHORT))
+    pairs = _apart(small, (F.col("n") <= CROWD) | ~long(F.least("size", "o_size")), (), similarity)
+    crowd = members.where((F.col("n") > CROWD) & long(F.col("size")))
+    crowd = cut(crowd.groupBy("lid").agg(F.collect_list("key").alias("keys"), *(F.first(c).alias(c) for c in (*SIDE, "label"))))
+    rare = crowd.join(_rare_words(crowd.select("lid").join(texts.select("lid", "symbols"), "lid"), similarity), "lid")
+    # An edit of a word turns two parities at most, and one if the number of words changes.
+    turned = functools.reduce(operator.add, (F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("o_odd")[i])) for i in range(ODD)))
+    few = turned + F.abs(F.col("words") - F.col("o_words")) <= 2 * F.floor((1 - similarity) * F.greatest("words", "o_words") + 1e-9)
+    pairs = pairs.union(_apart(rare, long(F.least("size", "o_size")) & few & F.arrays_overlap("keys", "o_keys"), ("keys", "words", "odd"), similarity))
+    return cut(pairs.distinct())
+
+
+def _rare_words(texts: DataFrame, similarity: float) -> DataFrame:
+    """(lid, words, odd, key): the number of words, their parities, and the words of each line (lid, symbols) that the fewest of these lines have, one more than the edits that
+    the similarity allows. Of two lines within so many edits, one at least has one of its rarest words (all in one order)
+    in the other, and then among the other's rarest. A word's second occurrence counts as another word."""
+    words = texts.select("lid", F.explode(F.regexp_extract_all("symbols", F.lit("(?s)(.)"), F.lit(1))).alias("word"))
+    words = words.groupBy("lid", "word").agg(F.count("*").alias("times"))
+    words = cut(words.select("lid", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"), "word").select("lid", F.xxhash64("word", "time").alias("key")))
+    uses = words.groupBy("key").agg(F.count("*").alias("lines"))
+    ordered = words.join(uses, "key").groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("lines", "key"))).alias("keys"))
+    most = F.floor((1 - similarity) / similarity * F.size("keys") + 1e-6).cast("int")  # of the longest line that may be alike
+    hashes = F.col("keys")["key"]
+    part = lambda i: F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(ODD - 1).cast("long")) == i)
+    odd = F.array(*(_parities(part(i)) for i in range(ODD)))
+    return ordered.select("lid", F.size("keys").alias("words"), odd.alias("odd"), F.explode(F.slice("keys", F.lit(1), most + 1)["key"]).alias("key"))
+
+
+def _apart(members: DataFrame, also, more: tuple[str, ...], similarity: float) -> DataFrame:
+    """Near pairs (a, b) of members (key, lid, size, sim, also, bag, label, more) that share a key and have different
+    labels, if ``also`` holds; the largest group of a key is met by the others and not by itself."""
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("uses"))
+    hub = groups.groupBy("key").agg(F.max(F.struct("uses", "label"))["label"].alias("hub"))
     hub = guarded_broadcast(cut(hub))
     rows = cut(members.join(hub, "key"))
-    out = rows.where("label <> hub").select("key", *(F.col(c).alias(f"o_{c}") for c in ("lid", *SIDE, "label")))
+    out = rows.where("label <> hub").select("key", *(F.col(c).alias(f"o_{c}") for c in ("lid", *SIDE, "label", *more)))
     once = (F.col("label") == F.col("hub")) | (F.col("o_lid") < F.col("lid"))
     near = _near("{}", "o_{}", similarity)
     # The join itself drops what is not near.
-    pairs = out.alias("o").join(rows.alias("r"), (F.col("o.key") == F.col("r.key")) & (F.col("label") != F.col("o_label")) & once & near)
+    pairs = out.alias("o").join(rows.alias("r"), (F.col("o.key") == F.col("r.key")) & (F.col("label") != F.col("o_label")) & once & near & also)
     return pairs.select(F.least("o_lid", "lid").alias("a"), F.greatest("o_lid", "lid").alias("b"))
 
 

@@ -157,3 +157,39 @@ def test_recall_by_length_against_edit_similarity_alone(spark, make_docs):
     texts = dict(docs)
     for b in (i for i, n in got.items() if n):
         assert any(alike(texts[a], texts[b]) for a in texts if a < b and 0.9 <= len(texts[a]) / len(texts[b]) <= 1 / 0.9 and (a == b - 1 or len(texts[b]) < 60))
+
+
+def test_a_passage_in_many_lines_makes_few_pairs(monkeypatch, make_docs, spark):
+    """Lines that share a long passage and are not alike are not held against each other one by one; near ones among them
+    are found all the same."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9)))
+    passage, docs = [word() for _ in range(60)], []
+    for i in range(150):
+        own = [word() for _ in range(12)]
+        at = rng.randrange(13)
+        line = own[:at] + passage + own[at:]
+        docs.append((2 * i, " ".join(line)))
+        if i % 5 == 0:
+            line[rng.randrange(len(line))] = word()
+            docs.append((2 * i + 1, " ".join(line)))
+    held, verified = [], D._verified
+    monkeypatch.setattr(D, "_verified", lambda pairs, *rest: held.append(pairs.count()) or verified(pairs, *rest))
+    got = Counter((r["doc_id"], r["text"]) for r in D.dedup_lines(make_docs(docs)).collect())
+    assert got == Counter(brute(spark, docs))
+    assert sum(text == "" for _, text in got.elements()) >= 25
+    assert sum(held) < 2_000  # of 16,110
+
+
+def test_bags_lose_no_pair(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("aeinst") for _ in range(rng.randrange(1, 9)))
+    pairs = []
+    for i in range(300):
+        a = " ".join(word() for _ in range(rng.randrange(2, 12)))[:79].strip()
+        b = edited(rng, a, i % 2) if len(a) < D.SHORT else a
+        pairs.append((a, b, max(len(a), len(b)), abs(len(a) - len(b)), edits(a, b)))
+    pairs += [("e" * 70, "e" * 64 + "x" * 6, 70, 0, 6)]
+    df = spark.createDataFrame(pairs, "a string, b string, size int, more int, edits int")
+    rows = df.select("*", D._bags_apart(D._bag("a"), D._bag("b")).alias("apart")).collect()
+    assert all(r["apart"] + r["more"] <= 2 * r["edits"] for r in rows) and any(r["apart"] for r in rows)
